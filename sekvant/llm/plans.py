@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sekvant.llm import bpe, packing, splitting, top_n
+from sekvant.llm import abuse, bpe, consensus, packing, splitting, top_n
+from sekvant.staging import staged
 from sekvant.tables import table
 
 #: Problem 1: hits kept per sequence and domain type.
 TOP_HITS = 3
+#: Problem 2, fixed values: words that stand for "nothing known"; and the largest harmonization table taken.
+PLACEHOLDERS = ("unknown", "mixture", "none", "na", "?", ".")
+MAX_HARMONIZATION = 100_000
 #: Problem 4: bases of a piece and bases shared with the next, and the names of unknown-base stretches.
 PIECE_LIMIT, PIECE_OVERLAP = 100_000, 1_000
 GAP_TYPES = ("gap", "assembly_gap", "N_region")
 #: Coordinates at the end of a name, 1-based with both ends, as different tools write them.
 COORDINATES = r"[:_\[]c?([0-9][0-9,]*)(?:-|\.\.|:)([0-9][0-9,]*)\]?(?:\([+-]\))?$"
+#: Problem 9: word-list entries taken; fixed values: labels of cases and of others.
+MAX_TERMS = 10_000
+CASES, OTHERS = ("abusive", "hateful", "sexual"), ("ok",)
 #: Problem 8: tokens of a container.
 CONTAINER_TOKENS = 1_024
 
@@ -39,6 +46,57 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("row_id").alias("id"))
 
 
+def _bare(c: str) -> Column:
+    return F.lower(F.trim(c))
+
+
+def _names(harmonization: DataFrame, column: str) -> DataFrame:
+    """The harmonization's spelling of each harmonized name."""
+    return F.broadcast(harmonization.where(F.col(column).isNotNull()).groupBy(_bare(column).alias(f"{column}_key")).agg(F.min(F.trim(column)).alias(f"{column}_name")))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each database's word on each element, harmonized: ``(item, annotator, grp, part)``."""
+    rows = table(spark, sf_dir, "classifications").where(F.col("seq_id").isNotNull() & F.col("database").isNotNull())
+    latest = rows.groupBy("seq_id", "database").agg(F.max(F.struct("loaded_at", "cls_id", "superfamily", "clade")).alias("w")).select("seq_id", "database", "w.superfamily", "w.clade")
+    given = lambda c: F.col(c).isNotNull() & (F.trim(c) != "") & ~_bare(c).isin(*PLACEHOLDERS)
+    said = latest.where(given("superfamily")).withColumn("clade", F.when(given("clade"), F.col("clade")))
+    said = said.withColumn("c_key", F.coalesce(_bare("clade"), F.lit("unknown")))
+    names = table(spark, sf_dir, "harmonization")
+    if names.count() > MAX_HARMONIZATION:
+        raise ValueError("the harmonization table is too large to broadcast")
+    h = names.groupBy(_bare("db").alias("d_"), _bare("superfamily_native").alias("s_"), _bare("clade_native").alias("c_")).agg(F.min(F.struct("superfamily_h", "clade_h")).alias("h"))
+    joined = said.join(F.broadcast(h), (_bare("database") == F.col("d_")) & (_bare("superfamily") == F.col("s_")) & (F.col("c_key") == F.col("c_")), "left")
+    joined = joined.select("seq_id", "database", F.trim(F.coalesce("h.superfamily_h", "superfamily")).alias("s"), F.trim(F.when(F.col("clade").isNotNull(), F.coalesce("h.clade_h", "clade"))).alias("c"))
+    spelt = joined.join(_names(names, "superfamily_h"), _bare("s") == F.col("superfamily_h_key"), "left").join(_names(names, "clade_h"), _bare("c") == F.col("clade_h_key"), "left")
+    part = F.coalesce("clade_h_name", "c")
+    return spelt.select(F.col("seq_id").alias("item"), F.col("database").alias("annotator"), F.coalesce("superfamily_h_name", "s").alias("grp"), F.when(~F.lower(part).isin(*PLACEHOLDERS), part).alias("part"))
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = consensus.annotations(staged(_words(spark, sf_dir), "words"))
+    return consensus.consensus(votes, consensus.learn(votes))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements whose databases contradict each other, with the names they really have."""
+    return _consensus(spark, sf_dir).where("contradicts").select(F.col("item").alias("seq_id"), F.col("grp").alias("superfamily"), F.coalesce("part", F.lit("unknown")).alias("clade"))
+
+
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One harmonized label per element with the databases' agreement."""
+    found = _consensus(spark, sf_dir)
+    return found.select(F.col("item").alias("seq_id"), F.col("grp").alias("superfamily"), F.coalesce("part", F.lit("unknown")).alias("clade"), "confidence", "agreement", F.col("n_votes").alias("n_databases"))
+
+
+def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of every database on superfamilies and on clades, and whom it copies."""
+    model = consensus.learn(consensus.annotations(staged(_words(spark, sf_dir), "words")))
+    copied = {b: (model.annotators[a], rate) for b, a, rate in model.copies}
+    rows = [(w, float(model.group_accuracy[i]), float(model.part_accuracy[i]), *copied.get(i, (None, None))) for i, w in enumerate(model.annotators)]
+    return spark.createDataFrame(rows, "database string, superfamily_accuracy double, clade_accuracy double, copies string, copy_rate double")
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every name's size by its latest row, from the coordinates in the name if the length is no use."""
     latest = table(spark, sf_dir, "sequences").where(F.col("name").isNotNull()).groupBy("name").agg(F.max(F.struct("loaded_at", "length"))["length"].alias("length"))
@@ -68,7 +126,36 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, F.col("doc_id"), F.col("tokens"), CONTAINER_TOKENS).withColumnRenamed("row_id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def abuse_model(spark: SparkSession, sf_dir: str) -> abuse.Model:
+    """The model of the labelled reviews; at most ``abuse.MAX_LABELLED`` of them, chosen by their text's hash."""
+    label = F.lower(F.trim("label"))
+    judged = table(spark, sf_dir, "review_labels").where(label.isin(*CASES, *OTHERS) & F.col("doc_id").isNotNull()).select("doc_id", "labeller", label.isin(*CASES).alias("case"))
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    votes = F.sort_array(F.collect_list(F.struct("labeller", "case")))
+    rows = docs.join(judged.groupBy("doc_id").agg(votes.alias("votes")), "doc_id").orderBy(F.xxhash64("text"), "doc_id").limit(abuse.MAX_LABELLED).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    labels = [(r.doc_id, v.labeller, v.case) for r in rows for v in r.votes]
+    words = table(spark, sf_dir, "abuse_terms").where(F.col("term").isNotNull()).orderBy("term", "lang", "kind").limit(MAX_TERMS).collect()
+    return abuse.fit({r.doc_id: r.text for r in rows}, labels, [(w.term, w.kind, w.strength) for w in words])
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every review, between 0 and 1."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source", abuse.scores(F.col("text"), abuse_model(spark, sf_dir)).alias("score"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that are taken for cases."""
+    return p9_scores(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cases per source."""
+    case = (F.col("score") >= abuse.THRESHOLD).cast("int")
+    return p9_scores(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_reviews"), F.sum(case).alias("n_cases"), F.avg(case).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_consensus": p2_consensus, "p2_reliability": p2_reliability, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 ORACLES = {
     "p1_found": """
