@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sekvant.plans import core
+from sekvant.plans import core, survey, survey_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(core.QUERIES)
+    return core.QUERIES | survey.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return dict(core.ORACLES)
+    return core.ORACLES | survey_sql.ORACLES

@@ -1,0 +1,284 @@
+"""SQL of the domain's queries, in DuckDB's dialect, written apart from the plans it checks."""
+
+from __future__ import annotations
+
+from sekvant.functions.sequences import amino_acids
+
+#: Usable hits with derived columns.
+H = """h AS (
+  SELECT * REPLACE (upper(trim(domain_type)) AS domain_type, least(env_from, env_to) AS env_from, greatest(env_from, env_to) AS env_to),
+    dom_score / query_len AS norm_score, 100.0::DOUBLE * (hmm_to - hmm_from + 1) / query_len AS hmm_cov
+  FROM legacy_hits
+  WHERE base_seq IS NOT NULL AND target_name IS NOT NULL AND query_name IS NOT NULL AND domain_type IS NOT NULL AND dom_score IS NOT NULL
+    AND NOT isnan(dom_score) AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0)"""
+PASS = "hmm_cov >= 20 AND i_evalue <= 1e-3 AND acc >= 0.5 AND norm_score >= 0.1"
+R2 = "round_even({0} * 100, 0) / 100"
+KEEP = "id, base_seq, target_name, query_name, domain_type, dom_score, env_from, env_to"
+TIE = "query_name, target_name, env_from, id"
+SPLIT = r"""regexp_full_match({0}, '(?s).*\|(fwd|rev)[^|]*[0-9]')"""
+
+
+def _best(keys: str, score: str = "dom_score DESC", where: str = "TRUE", source: str = "h") -> str:
+    return f"SELECT * FROM {source} WHERE {where} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {score}, {TIE}) = 1"
+
+
+def _gene(remap: bool) -> str:
+    return "CASE WHEN domain_type = 'TPASE' THEN 'INT' ELSE domain_type END" if remap else "domain_type"
+
+
+def _domains(database: str | None, remap: bool = False, rounded: bool = False) -> str:
+    """CTEs up to ``d``: the best domains that pass."""
+    norm = R2.format("norm_score") if rounded else "norm_score"
+    ok = f"{R2.format('hmm_cov')} >= 20 AND i_evalue <= 1e-3 AND acc >= 0.5 AND {norm} >= 0.1" if rounded else PASS
+    where = f"WHERE database = '{database}'" if database else ""
+    return f"""{H}, g AS (SELECT *, {_gene(remap)} AS gene FROM h {where}),
+b AS ({_best("base_seq, gene", f"{norm} DESC, dom_score DESC", source="g")}),
+d AS (SELECT * FROM b WHERE {ok})"""
+
+
+_PATH = "split_part(query_name, ':', 1)"
+_HAS = "contains(query_name, ':')"
+
+
+def _path(column: str) -> dict[str, str]:
+    p, has = f"split_part({column}, ':', 1)", f"contains({column}, ':')"
+    part = lambda i: f"coalesce(nullif(split_part({p}, '/', {i + 1}), ''), 'unknown')"
+    rest = f"substr({column}, instr({column}, ':') + 1)"
+    case = lambda a, b, c: f"CASE WHEN NOT {has} THEN '{c}' WHEN starts_with({p}, 'Class_I/LTR/Ty1_copia') THEN '{a[0]}' WHEN starts_with({p}, 'Class_I/LTR/Ty3_gypsy') THEN '{a[1]}' WHEN starts_with({p}, 'Class_I/') THEN {part(b[0])} WHEN starts_with({p}, 'Class_II/') THEN {part(b[1])} WHEN starts_with({p}, 'NA') THEN '{a[2]}' ELSE '{c}' END"
+    return {
+        "o": case(("LTR", "LTR", "LTR"), (1, 2), "Unknown"),
+        "s": case(("Copia", "Gypsy", "Retrovirus"), (2, 3), "unknown"),
+        "c": f"CASE WHEN {has} THEN split_part({p}, '/', -1) ELSE {column} END",
+        "g": f"CASE WHEN {has} THEN split_part({rest}, '-', -1) ELSE {column} END",
+    }
+
+
+def _classify(database: str, style: str, structures: dict, only: tuple = (), count: bool = False, rounded: bool = False) -> str:
+    """CTEs up to ``calls``: a database's call on every element."""
+    if style == "path":
+        p = _path("query_name")
+        labelled = f"l AS (SELECT d.*, {p['o']} AS o, {p['s']} AS s, {p['c']} AS c, {p['g']} AS g FROM d)"
+    elif style == "prefix":
+        labelled = """cm AS (
+  SELECT clade_native AS c, min({'o': order_h, 's': superfamily_h}) AS x FROM harmonization WHERE db = 'gyrodb' AND clade_native <> 'unknown' GROUP BY 1),
+n AS (SELECT d.*, CASE WHEN contains(query_name, '_') THEN substr(query_name, instr(query_name, '_') + 1) ELSE query_name END AS c, split_part(query_name, '_', 1) AS g FROM d),
+l AS (SELECT n.*, x.o AS o, x.s AS s FROM n LEFT JOIN cm USING (c))"""
+    else:
+        labelled = "l AS (SELECT d.*, 'SINE' AS o, 'unknown' AS s, 'SINE' AS c, 'SINE' AS g FROM d)"
+    weight = "count(*)::DOUBLE" if count else "round(sum(norm_score), 9)"
+    if not count:
+        clear = "n = 1 OR top > second"
+    elif style == "prefix":
+        clear = "n = 1 OR top > 1"
+    else:
+        clear = "n = 1 OR (top > 1 AND seen1 > seen2)"
+    complete = " ".join(f"WHEN ord = '{o}' AND fam = '{s}' THEN CASE WHEN list_filter(genes, lambda x: list_contains({e}, x)) = {e} THEN 'yes' ELSE 'no' END" for (o, s), e in structures.items())
+    restrict = " OR ".join([f"fam NOT IN ({', '.join(repr(x) for x in only)})"] * bool(only) + ["starts_with(shown, 'Ty')"] * (style == "path"))
+    shown = f"CASE WHEN {restrict} THEN 'unknown' ELSE shown END" if restrict else ("'unknown'" if style == "constant" else "shown")
+    return f"""{_domains(database, rounded=rounded)}, {labelled},
+w AS (SELECT *, CASE WHEN contains(target_name, '|fwd') THEN '+' WHEN contains(target_name, '|rev') THEN '-' ELSE '.' END AS way FROM l),
+f AS (SELECT *, CASE WHEN min(way) OVER e = max(way) OVER e THEN max(way) OVER e ELSE '?' END AS fold, row_number() OVER (PARTITION BY base_seq ORDER BY env_from, gene) AS a, count(*) OVER e AS cnt FROM w WINDOW e AS (PARTITION BY base_seq)),
+q AS (SELECT *, CASE WHEN fold = '-' THEN cnt + 1 - a ELSE a END AS pos FROM f),
+v AS (SELECT base_seq, c, {weight} AS wt, min(pos) AS first FROM q GROUP BY 1, 2),
+k AS (SELECT base_seq, count(*) AS n, max(wt) AS top, list(wt ORDER BY wt DESC)[2] AS second, list(c ORDER BY wt DESC, first)[1] AS win,
+  list(wt ORDER BY first)[1] AS seen1, list(wt ORDER BY first)[2] AS seen2 FROM v GROUP BY 1),
+z AS (SELECT q.base_seq, any_value(q.fold) AS strand, sum(norm_score) AS score, list(g ORDER BY pos) AS genes,
+  string_agg(g || '|' || c, ' ' ORDER BY pos) AS domains, any_value(win) AS win, bool_and({clear}) AS clear,
+  list(o ORDER BY pos) FILTER (q.c = win) AS lo, list(s ORDER BY pos) FILTER (q.c = win) AS ls,
+  count(DISTINCT coalesce(o, '~null')) AS n_o, count(DISTINCT coalesce(s, '~null')) AS n_s FROM q JOIN k USING (base_seq) GROUP BY 1),
+y AS (SELECT *, CASE WHEN NOT clear AND n_s > 1 AND n_o > 1 THEN 'mixture' ELSE coalesce(lo[1], 'Unknown') END AS ord,
+  CASE WHEN NOT clear AND n_s > 1 THEN 'mixture' ELSE coalesce(ls[1], 'unknown') END AS fam, CASE WHEN clear THEN win ELSE 'mixture' END AS shown FROM z),
+calls AS (SELECT base_seq AS id, ord AS "order", fam AS superfamily, {shown} AS clade, {f"CASE {complete} ELSE 'unknown' END" if complete else "'unknown'"} AS complete, strand, domains, score FROM y)"""
+
+
+_AX = {("LTR", "Corvia"): ["GAG", "PROT", "INT", "RT", "RH"], ("LTR", "Gestrel"): ["GAG", "PROT", "RT", "RH", "INT"], ("LTR", "Belmar"): ["GAG", "PROT", "RT", "RH", "INT"]}
+_GY = {("LTR", "Corvia"): ["GAG", "PROT", "INT", "RT", "RH"]}
+_CALL = 'SELECT id, "order", superfamily, clade, complete, strand, domains, round(score, 6) AS score FROM calls'
+_AX_CALLS = _classify("axdb", "path", _AX, ("Corvia", "Gestrel"))
+
+DNA = """dna AS (SELECT 'doc' || doc_id AS name, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'),
+  'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTNNACGTACGTACGTACGTACGTACGTNN') AS seq FROM documents WHERE text IS NOT NULL)"""
+_RC = "reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))"
+
+#: The stored classifications as calls, and what reconciling makes of them.
+REC = """rows AS (
+  SELECT seq_id AS id, database, te_order AS "order", superfamily, clade, (cls_id % 97 + 1)::DOUBLE AS score FROM classifications
+  WHERE seq_id IS NOT NULL AND database IS NOT NULL AND superfamily IS NOT NULL AND clade IS NOT NULL AND te_order IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY seq_id, database ORDER BY loaded_at DESC, cls_id DESC) = 1)"""
+HARM = """hz AS (
+  SELECT r.*, coalesce(t.order_h, r."order") AS oh, coalesce(t.superfamily_h, r.superfamily) AS sh, coalesce(t.clade_h, r.clade) AS ch, coalesce(t.lineage_h, '') AS lh
+  FROM rows r LEFT JOIN (SELECT DISTINCT ON (db, order_native, superfamily_native, clade_native) * FROM harmonization) t
+  ON t.db = r.database AND t.order_native = r."order" AND t.superfamily_native = r.superfamily AND t.clade_native = r.clade)"""
+SCOPE = "scope(db, sf) AS (VALUES ('axdb','Corvia'), ('axdb','Gestrel'), ('gyrodb','Gestrel'), ('gyrodb','Belmar'), ('plantrep','Corvia'), ('plantrep','Hadrix'), ('tirscan','Hadrix'), ('tirscan','Mutavo'))"
+
+
+def _won(name: str, source: str, level: str) -> str:
+    return f"""{name}v AS (SELECT id, {level}, round(sum(score), 9) AS t, min(database) AS f FROM {source} GROUP BY 1, 2),
+{name}w AS (SELECT id, {level} AS top FROM {name}v QUALIFY row_number() OVER (PARTITION BY id ORDER BY t DESC, f, {level}) = 1)"""
+
+
+def _reconcile(rows: str) -> str:
+    """CTEs up to ``prim``: the primary call of every element of ``rows``."""
+    return f"""{rows}, {HARM}, {SCOPE},
+m AS (SELECT *, min(database) OVER (PARTITION BY id) <> max(database) OVER (PARTITION BY id) AS several FROM hz),
+p0 AS (SELECT * REPLACE (CASE WHEN several THEN oh ELSE "order" END AS oh, CASE WHEN several THEN sh ELSE superfamily END AS sh,
+  CASE WHEN several THEN ch ELSE clade END AS ch, CASE WHEN several THEN lh ELSE '' END AS lh) FROM m),
+{_won("a", "p0", "oh")}, p1 AS (SELECT p0.* FROM p0 JOIN aw ON p0.id = aw.id AND p0.oh = aw.top),
+{_won("b", "p1", "sh")},
+qual AS (SELECT DISTINCT x.id, x.sh FROM p1 x WHERE x.several
+  AND NOT EXISTS (SELECT 1 FROM p1 y JOIN scope s ON s.db = y.database AND s.sf = x.sh WHERE y.id = x.id AND y.database <> x.database)
+  AND EXISTS (SELECT 1 FROM p1 y JOIN scope s ON s.db = x.database AND s.sf = y.sh WHERE y.id = x.id AND y.sh <> x.sh)),
+only1 AS (SELECT id, min(sh) AS sh FROM qual GROUP BY 1 HAVING count(*) = 1),
+p2 AS (SELECT p1.* FROM p1 JOIN bw ON p1.id = bw.id LEFT JOIN only1 o ON o.id = p1.id WHERE p1.sh = coalesce(o.sh, bw.top)),
+{_won("c", "p2", "ch")}, p3 AS (SELECT p2.* FROM p2 JOIN cw ON p2.id = cw.id AND p2.ch = cw.top),
+{_won("l", "(SELECT * FROM p3 WHERE lh <> '')", "lh")},
+prim AS (SELECT * FROM p3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, database) = 1)"""
+
+
+_FEAT = """feat AS (SELECT seqid AS chrom, f_type AS type, f_start, f_end, score, strand, coalesce(regexp_extract(attributes, 'ID=([^;]*)', 1), '') AS gid,
+  CASE WHEN f_type = 'CDS' THEN 'LTR/' ELSE 'SINE/' END || coalesce(regexp_extract(attributes, 'clade=([^;]*)', 1), '') AS classification
+  FROM gff_features WHERE seqid IS NOT NULL AND score IS NOT NULL)"""
+_SCREEN = f"""{H}, par AS (SELECT DISTINCT name AS query_name, name AS parent, least(m, 96) AS size FROM models),
+sub AS (SELECT h.target_name, coalesce(par.parent, h.query_name) AS parent, h.dom_score AS score, coalesce(par.size, h.query_len) AS size FROM h LEFT JOIN par USING (query_name)),
+scr AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY target_name, parent ORDER BY score DESC, size) = 1)"""
+_FAM = "fam AS (SELECT DISTINCT name AS parent, family FROM models)"
+_TIER = """CASE WHEN size >= 96 THEN CASE WHEN score >= 30 THEN 'confirmed_100' WHEN score >= 20 THEN 'probable_99.9' WHEN score >= 15 THEN 'probable_99' WHEN score >= 10 THEN 'probable_91' ELSE 'low' END
+  WHEN size >= 48 THEN CASE WHEN score >= 15 THEN 'confirmed_100' WHEN score >= 10 THEN 'probable_97' ELSE 'low' END
+  WHEN size >= 32 THEN CASE WHEN score >= 10 THEN 'probable_97' ELSE 'low' END
+  ELSE CASE WHEN score >= 20 THEN 'confirmed_100' WHEN score >= 15 THEN 'probable_99' WHEN score >= 10 THEN 'probable_90' ELSE 'low' END END"""
+_RANKED = f"""{_SCREEN}, {_FAM}, rk AS (SELECT target_name, family, parent AS model, score AS facet_score, size AS facet_m, {_TIER} AS confidence,
+  row_number() OVER (PARTITION BY target_name, family ORDER BY score DESC, parent) > 1 AS is_secondary FROM scr JOIN fam USING (parent) WHERE score >= 10)"""
+_EDGES = f"""{H}, bf AS ({_best("base_seq, domain_type")}), pr AS (SELECT DISTINCT base_seq, query_name FROM bf),
+edges AS (SELECT a.query_name AS query, b.query_name AS target, count(*)::DOUBLE AS score FROM pr a JOIN pr b ON a.base_seq = b.base_seq AND a.query_name <> b.query_name GROUP BY 1, 2)"""
+_START = "CASE WHEN strand = '+' THEN (env_from - 1) * 3 + frame + 1 WHEN strand = '-' THEN target_len * 3 + frame - (env_to * 3 + frame) + 1 ELSE env_from END"
+_END = "CASE WHEN strand = '+' THEN env_to * 3 + frame WHEN strand = '-' THEN target_len * 3 + frame - ((env_from - 1) * 3 + frame) ELSE env_to END"
+_FRAME = lambda way, k: f"SELECT name || '|{way}{k + 1}' AS target_name, name AS base_seq, '{'+' if way == 'fwd' else '-'}' AS strand, {k} AS frame, array_to_string(list_transform(range(((length(seq) - {k}) // 3)::BIGINT), lambda i: substr('{''.join(amino_acids())}', substr(t_{way}, ({k} + 3 * i + 1)::BIGINT, 3)::INTEGER + 1, 1)), '') AS aa FROM digits WHERE length(seq) >= {k + 3}"
+_SHA = "sha256({0})"
+_BYTES = lambda x: " || ".join(f"substr({_SHA.format(x)}, {15 - 2 * i}, 2)" for i in range(8))
+_ID = lambda x: f"(('0x' || {_BYTES(x)})::UBIGINT & 9223372036854775807::UBIGINT)::BIGINT"
+_SO_CASE = {"ltr/corvia": ("LTR_retrotransposon", "SO:0000186"), "ltr": ("LTR_retrotransposon", "SO:0000186"), "ltr/gestrel": ("Gestrel_retrotransposon", "SO:0009001"), "gestrel": ("Gestrel_retrotransposon", "SO:0009001"), "helitron": ("helitron", "SO:0000544"), "line": ("LINE_element", "SO:0000194"), "sine": ("SINE_element", "SO:0000206"), "dna/hadrix": ("Hadrix_transposon", "SO:0009002"), "tir": ("terminal_inverted_repeat_element", "SO:0000208"), "dirs": ("LTR_retrotransposon", "SO:0000186"), "penelope": ("non_LTR_retrotransposon", "SO:0000189"), "pararetrovirus": ("LTR_retrotransposon", "SO:0000186"), "maverick": ("DNA_transposon", "SO:0000182"), "ltr/retrovirus": ("LTR_retrotransposon", "SO:0000186")}
+_SO_ROWS = ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _SO_CASE.items())
+_N = lambda x: f"replace(replace(lower(trim({x})), '-', '_'), ' ', '')"
+
+ORACLES = {
+    "family_parse": rf"""
+SELECT id, CASE WHEN contains(query_name, ':') THEN split_part(split_part(query_name, ':', 2), '-', -1) ELSE split_part(query_name, '_', 1) END AS family,
+  CASE WHEN ok THEN regexp_extract(target_name, '(?s)^(.*)\|(fwd|rev)', 1) ELSE target_name END AS base,
+  CASE WHEN NOT ok THEN '.' WHEN contains(split_part(target_name, '|', -1), 'fwd') THEN '+' ELSE '-' END AS sign,
+  CASE WHEN ok THEN (right(target_name, 1)::INTEGER - 1)::VARCHAR ELSE '.' END AS frame_no,
+  CASE WHEN contains(target_name, '|') THEN regexp_extract(target_name, '(?s)^(.*)\|', 1) ELSE target_name END AS stripped
+FROM (SELECT *, {SPLIT.format("target_name")} AS ok FROM legacy_hits WHERE query_name IS NOT NULL AND target_name IS NOT NULL)""",
+    "path_labels": f"""
+WITH l AS (SELECT name, {_path("name")["o"]} AS o, {_path("name")["s"]} AS s, {_path("name")["c"]} AS c, {_path("name")["g"]} AS g FROM models)
+SELECT name, o AS "order", s AS superfamily, c AS clade, g AS gene,
+  array_to_string(list_filter([o, CASE WHEN s <> o THEN s END, CASE WHEN c NOT IN (o, s) THEN c END], lambda x: x IS NOT NULL AND x <> 'unknown'), '/') AS label FROM l""",
+    "prefix_labels": """
+SELECT name, split_part(name, '_', 1) AS gene, CASE WHEN contains(name, '_') THEN substr(name, instr(name, '_') + 1) ELSE name END AS clade,
+  regexp_replace(name, '[;=|]', '_', 'g') AS gff_name, translate(name, '/: ', '___') AS file_name FROM models""",
+    "stable_ids": f"SELECT name, {_ID('name')} AS model_id, {_ID(chr(39) + 'family:' + chr(39) + ' || family')} AS family_id FROM models",
+    "window_ids": r"""
+SELECT DISTINCT name, CASE WHEN ok THEN regexp_extract(name, '^(.+):(\d+)-(\d+)$', 1) ELSE name END AS chrom,
+  CASE WHEN ok THEN regexp_extract(name, '^(.+):(\d+)-(\d+)$', 2)::BIGINT END AS w_start, CASE WHEN ok THEN regexp_extract(name, '^(.+):(\d+)-(\d+)$', 3)::BIGINT END AS w_end
+FROM (SELECT *, regexp_matches(name, '^(.+):(\d+)-(\d+)$') AS ok FROM sequences WHERE name IS NOT NULL)""",
+    "hit_filters": f"WITH {H} SELECT id, norm_score, hmm_cov FROM h WHERE {PASS}",
+    "hit_filters_rounded": f"WITH {H}, r AS (SELECT * REPLACE ({R2.format('norm_score')} AS norm_score, {R2.format('hmm_cov')} AS hmm_cov) FROM h) SELECT id, norm_score, hmm_cov FROM r WHERE {PASS}",
+    "best_domain": f"WITH {_domains(None, True)} SELECT base_seq, gene, id, dom_score FROM b",
+    "selected_domains": f"WITH {_domains(None, True)} SELECT base_seq, gene, id, dom_score FROM d",
+    "best_per_family": f"WITH {H}, b AS ({_best('base_seq, domain_type')}) SELECT {KEEP} FROM b",
+    "best_per_family_filtered": f"WITH {H}, b AS ({_best('base_seq, domain_type', where=PASS)}) SELECT {KEEP} FROM b",
+    "best_per_frame": f"WITH {H}, b AS ({_best('target_name')}) SELECT {KEEP} FROM b",
+    "best_per_model": f"WITH {H}, b AS ({_best('target_name, query_name')}) SELECT {KEEP} FROM b",
+    "best_with_ties": f"WITH {H} SELECT {KEEP} FROM h WHERE dom_score = (SELECT max(x.dom_score) FROM h x WHERE x.target_name = h.target_name AND x.query_name = h.query_name)",
+    "classify_score_vote": f"WITH {_AX_CALLS} {_CALL}",
+    "classify_count_vote": f"WITH {_classify('axdb', 'path', _AX, ('Corvia', 'Gestrel'), count=True, rounded=True)} {_CALL}",
+    "classify_prefix": f"WITH {_classify('gyrodb', 'prefix', _GY)} {_CALL}",
+    "classify_constant": f"WITH {_classify('sinefold', 'constant', {})} {_CALL}",
+    "reconcile_vote": f"""WITH {_reconcile(REC)}, nc AS (SELECT id, count(*) AS n FROM rows GROUP BY 1)
+SELECT prim.id, oh AS "order", sh AS superfamily, ch AS clade, coalesce(lw.top, '') AS lineage, database AS primary_db, score, nc.n::INTEGER AS n_calls
+FROM prim JOIN nc USING (id) LEFT JOIN lw ON lw.id = prim.id""",
+    "secondary_strings": f"""WITH {REC}
+SELECT id, string_agg(printf('%s:%s/%s/%s=%.3f', database, "order", superfamily, clade, score), ';' ORDER BY score DESC, database) AS secondary_hits FROM rows GROUP BY id""",
+    "so_lookup": f"""
+WITH t(alias, so_name, so_id) AS (VALUES {_SO_ROWS}), l AS (SELECT DISTINCT te_order AS o, superfamily AS s FROM classifications WHERE te_order IS NOT NULL),
+u AS (SELECT o, s, lower(trim(o)) NOT IN ('', 'unknown', 'na') AS so, s IS NOT NULL AND lower(trim(s)) NOT IN ('', 'unknown', 'na') AS ss FROM l),
+c AS (SELECT o, s, unnest(list_concat(CASE WHEN so AND ss THEN [trim(o) || '/' || trim(s)] ELSE [] END,
+  CASE WHEN NOT (so AND ss) THEN [] WHEN lower(trim(o)) = 'tir' THEN ['TIR/' || trim(s), 'DNA/' || trim(s), 'MITE/' || trim(s)] WHEN lower(trim(o)) = 'line' THEN ['LINE/' || trim(s), 'nonLTR/' || trim(s)]
+    WHEN lower(trim(o)) = 'ltr' THEN ['LTR/' || trim(s)] WHEN lower(trim(o)) = 'sine' THEN ['SINE/' || trim(s)] ELSE [] END,
+  CASE WHEN ss THEN [trim(s)] ELSE [] END, CASE WHEN so THEN [trim(o)] ELSE [] END)) AS a, generate_subscripts(list_concat(CASE WHEN so AND ss THEN [1] ELSE [] END,
+  CASE WHEN NOT (so AND ss) THEN [] WHEN lower(trim(o)) = 'tir' THEN [1, 1, 1] WHEN lower(trim(o)) = 'line' THEN [1, 1] WHEN lower(trim(o)) IN ('ltr', 'sine') THEN [1] ELSE [] END,
+  CASE WHEN ss THEN [1] ELSE [] END, CASE WHEN so THEN [1] ELSE [] END), 1) AS i FROM u),
+b AS (SELECT c.o, c.s, t.so_name, t.so_id FROM c JOIN t ON t.alias = {_N("c.a")} QUALIFY row_number() OVER (PARTITION BY c.o, c.s ORDER BY i) = 1),
+r AS (SELECT l.o, l.s, coalesce(b.so_name, 'repeat_region') AS so_name, coalesce(b.so_id, 'SO:0000657') AS so_id FROM l LEFT JOIN b ON b.o = l.o AND b.s IS NOT DISTINCT FROM l.s)
+SELECT o AS "order", s AS superfamily, so_name, so_id, CASE so_id WHEN 'SO:0000182' THEN 'DNA_transposon' WHEN 'SO:0000186' THEN 'LTR_retrotransposon' WHEN 'SO:0000189' THEN 'non_LTR_retrotransposon'
+  WHEN 'SO:0000194' THEN 'LINE_element' WHEN 'SO:0000206' THEN 'SINE_element' WHEN 'SO:0000208' THEN 'terminal_inverted_repeat_element' WHEN 'SO:0000544' THEN 'helitron' WHEN 'SO:0000657' THEN 'repeat_region' ELSE so_name END AS gff_type FROM r""",
+    "pass2_inherit": f"""WITH {REC}, s AS (
+  SELECT * FROM blast_hits b WHERE pident >= 80 AND qcovs >= 80 AND length >= 80
+  AND NOT EXISTS (SELECT 1 FROM legacy_hits h WHERE h.base_seq = b.qseqid AND h.i_evalue <= 1e-30)),
+t AS (SELECT qseqid, sseqid, bitscore FROM s QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, sseqid) = 1)
+SELECT t.qseqid AS id, r."order", r.superfamily, 'unknown' AS clade, 'none' AS complete, '?' AS strand, 'none' AS domains, t.sseqid AS source, t.bitscore
+FROM t JOIN rows r ON r.id = t.sseqid AND r.database = 'axdb'""",
+    "split_classified": "SELECT name, max(length) AS length, name IN (SELECT base_seq FROM legacy_hits WHERE base_seq IS NOT NULL) AS has_hit FROM sequences WHERE name IS NOT NULL GROUP BY name",
+    "blast_classified_by": """
+WITH l AS (SELECT base_seq, string_agg(database, ',' ORDER BY database) AS c FROM (SELECT DISTINCT base_seq, database FROM legacy_hits WHERE base_seq IS NOT NULL AND database IS NOT NULL) GROUP BY 1)
+SELECT hit_id, qseqid, sseqid, coalesce(l.c, 'unknown') AS classified_by FROM blast_hits LEFT JOIN l ON l.base_seq = sseqid""",
+    "classified_ids": "SELECT base_seq, string_agg(database, ',' ORDER BY database) AS classified_by FROM (SELECT DISTINCT base_seq, database FROM legacy_hits WHERE base_seq IS NOT NULL AND database IS NOT NULL) GROUP BY 1",
+    "dom_gff3_rows": rf"""WITH {_domains("axdb")}
+SELECT id, regexp_replace(base_seq, '[;=|]', '_', 'g') AS seqid, {_START} AS start, {_END} AS "end", strand,
+  regexp_replace(base_seq, '[;=|]', '_', 'g') || '|' || regexp_replace(query_name, '[;=|]', '_', 'g') AS feature_id, {_path("query_name")["c"]} || '-' || gene AS name FROM d""",
+    "aa_to_nucl": f"WITH {H} SELECT id, ({_START})::BIGINT AS nuc_from, ({_END})::BIGINT AS nuc_to FROM h",
+    "strand_normalize": """
+WITH n AS (SELECT sum(l) / 1e6::DOUBLE AS mb FROM (SELECT name, max(length) AS l FROM sequences WHERE length > 0 AND name IS NOT NULL GROUP BY 1))
+SELECT id, base_seq || CASE WHEN env_from <= env_to THEN '|fwd1' ELSE '|rev1' END AS target, least(env_from, env_to) AS low, greatest(env_from, env_to) AS high, i_evalue * mb AS scaled_evalue
+FROM legacy_hits, n WHERE base_seq IS NOT NULL AND env_from IS NOT NULL AND env_to IS NOT NULL""",
+    "domain_keep_semi": f"WITH {_domains(None)} SELECT {KEEP} FROM h WHERE (target_name, query_name, env_from, env_to) IN (SELECT (target_name, query_name, env_from, env_to) FROM d)",
+    "clean_seq": "SELECT doc_id, regexp_replace(upper(regexp_replace(regexp_replace(text, '[^ -~]', '?', 'g'), '[^ACGTNacgtn]', 'N', 'g')), '[^ACGTN]', 'N', 'g') AS seq FROM documents WHERE text IS NOT NULL",
+    "revcomp": f"WITH {DNA} SELECT name, {_RC} AS rc FROM dna",
+    "six_frames": f"""WITH {DNA}, digits AS (SELECT name, seq, translate(seq, 'TCAGN', '01234') AS t_fwd, translate({_RC}, 'TCAGN', '01234') AS t_rev FROM dna)
+{" UNION ALL ".join(_FRAME(way, k) for way in ("fwd", "rev") for k in range(3))}""",
+    "genome_windows": f"""WITH {DNA}, w AS (SELECT name, seq, unnest(range(0, 1 + greatest(0, ceil((length(seq) - 250) / 200.0))::BIGINT)) AS i FROM dna WHERE length(seq) > 0)
+SELECT name || ':' || (i * 200 + 1) || '-' || least(i * 200 + 250, length(seq)) AS window_id, name AS chrom, (i * 200 + 1)::INTEGER AS w_start, least(i * 200 + 250, length(seq))::INTEGER AS w_end,
+  substr(seq, i * 200 + 1, 250) AS seq FROM w""",
+    "cls_lib": f"""WITH {_AX_CALLS}, {DNA},
+few AS (SELECT 'doc' || try_cast(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS name, min({{'o': "order", 's': superfamily, 'c': clade, 'd': strand}}) AS x FROM calls
+  WHERE try_cast(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) IS NOT NULL GROUP BY 1)
+SELECT dna.name, split_part(dna.name, '#', 1) || '#' || CASE WHEN few.name IS NULL THEN 'Unknown' ELSE array_to_string(list_filter([x.o, CASE WHEN x.s <> x.o THEN x.s END, CASE WHEN x.c NOT IN (x.o, x.s) THEN x.c END],
+  lambda v: v IS NOT NULL AND v <> 'unknown'), '/') END || ' ' || dna.name AS head, CASE WHEN x.d = '-' THEN {_RC} ELSE seq END AS seq FROM dna LEFT JOIN few ON few.name = dna.name""",
+    "genome_summary": f"""WITH {_FEAT}, p AS (SELECT f_end - f_start + 1 AS n, unnest(CASE WHEN contains(classification, '/') THEN [split_part(classification, '/', 1), classification, 'Total'] ELSE [classification, 'Total'] END) AS path FROM feat)
+SELECT path, count(*) AS number, sum(n)::BIGINT AS total_length, round(sum(n) / count(*), 1) AS mean_length,
+  CASE split_part(path, '/', 1) WHEN 'LTR' THEN 1 WHEN 'SINE' THEN 6 ELSE 12 END::INTEGER AS place FROM p GROUP BY path""",
+    "overlap_pairs": f"""WITH {_FEAT}, u AS (SELECT DISTINCT * FROM feat), p AS (
+  SELECT *, lag(f_start) OVER w AS ps, lag(f_end) OVER w AS pe FROM u WINDOW w AS (PARTITION BY chrom, type ORDER BY f_start, f_end, score DESC, gid, strand))
+SELECT chrom, type, f_start, f_end, gid, round(CASE WHEN least(f_end - f_start + 1, pe - ps + 1) > 0 THEN 100.0::DOUBLE * greatest(0, least(f_end, pe) - greatest(f_start, ps)) / least(f_end - f_start + 1, pe - ps + 1) ELSE 0 END, 6) AS pct
+FROM p WHERE ps IS NOT NULL""",
+    "facet_primary_secondary": f"WITH {_RANKED} SELECT * FROM rk",
+    "facet_verified": f"""WITH {_RANKED}, fnd AS (SELECT h.* FROM h JOIN rk ON rk.target_name = h.target_name AND rk.model = h.query_name AND NOT rk.is_secondary WHERE h.i_evalue <= 1e-5),
+ful AS (SELECT target_name, query_name AS model, max(dom_score) AS full_score FROM fnd GROUP BY 1, 2)
+SELECT rk.*, coalesce(ful.full_score, 0.0) AS full_score, rk.target_name IN (SELECT target_name FROM fnd) AS verified FROM rk LEFT JOIN ful USING (target_name, model)""",
+    "missing_families": f"""WITH {H}, {_FAM}, have AS (SELECT DISTINCT target_name, family FROM h JOIN fam ON fam.parent = h.query_name WHERE dom_score >= 30)
+SELECT t.target_name, f.family FROM (SELECT DISTINCT target_name FROM have) t, (SELECT DISTINCT family FROM models) f EXCEPT SELECT target_name, family FROM have""",
+    "unclassified_frames": f"WITH {_SCREEN} SELECT DISTINCT target_name FROM h WHERE target_name NOT IN (SELECT target_name FROM scr WHERE score >= 15)",
+    "quick_first_confirming": f"""WITH {_SCREEN}, r AS (SELECT target_name, parent AS query_name, row_number() OVER (PARTITION BY target_name ORDER BY score DESC, parent)::INTEGER AS rank FROM scr)
+SELECT target_name, query_name, rank FROM r WHERE (target_name, query_name) IN (SELECT (target_name, query_name) FROM h WHERE i_evalue <= 1e-10) QUALIFY row_number() OVER (PARTITION BY target_name ORDER BY rank) = 1""",
+    "pass2_pair_filter": f"WITH {H} SELECT {KEEP} FROM h WHERE (target_name, query_name) IN (SELECT (target_name, query_name) FROM h WHERE evalue <= 1e-10)",
+    "models_by_frame": f"WITH {H} SELECT target_name, string_agg(query_name, ',' ORDER BY query_name) AS models FROM (SELECT DISTINCT target_name, query_name FROM h) GROUP BY 1",
+    "graph_neighbors_topk": f"WITH {_EDGES} SELECT query, target, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, target)::INTEGER AS rank FROM edges QUALIFY rank <= 5",
+    "graph_report": f"""WITH {_EDGES}, f AS (SELECT name AS parent, min(family) AS family FROM models GROUP BY 1),
+e AS (SELECT a.family, count(*) FILTER (a.family = b.family) AS within, count(*) FILTER (a.family <> b.family) AS across FROM edges JOIN f a ON a.parent = query JOIN f b ON b.parent = target GROUP BY 1)
+SELECT n.family, n.n_models, coalesce(within, 0) AS within, coalesce(across, 0) AS across FROM (SELECT family, count(*) AS n_models FROM f GROUP BY 1) n LEFT JOIN e USING (family)""",
+    "model_size_iqr": """
+WITH s AS (SELECT m::DOUBLE * m AS q, row_number() OVER (ORDER BY m) AS i, count(*) OVER () AS n FROM models),
+b AS (SELECT median(q) FILTER (i <= n // 2) AS q1, median(q) FILTER (i > n - n // 2) AS q3, any_value(n) AS n FROM s)
+SELECT name, m, n >= 4 AND m::DOUBLE * m > q3 + 2 * (q3 - q1) AS outlier FROM models, b""",
+    "window_sums": """
+WITH t AS (SELECT name AS model, min(m) AS m FROM models GROUP BY 1), p AS (SELECT model, unnest(range(1, m + 1)) AS pos FROM t),
+s AS (SELECT model, pos, ((length(model) * 31 + pos * 17) % 23) / 10.0::DOUBLE AS score FROM p),
+w AS (SELECT model, pos, sum(score) OVER w AS total, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY model ORDER BY pos ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING))
+SELECT model, pos::INTEGER AS pos, round(total, 6) AS total FROM w WHERE n = 32""",
+    "multi_db_agreement": f"""WITH {REC}, {HARM}
+SELECT count(*) AS n, count(*) FILTER (a.superfamily = b.superfamily) AS raw_superfamily, count(*) FILTER (a.superfamily = b.superfamily AND a.clade = b.clade) AS raw_clade,
+  count(*) FILTER (a.sh = b.sh) AS harmonized_superfamily, count(*) FILTER (a.sh = b.sh AND a.ch = b.ch) AS harmonized_clade
+FROM hz a JOIN hz b ON a.id = b.id AND a.database = 'axdb' AND b.database = 'plantrep'""",
+    "domtbl_parse": f"WITH {H} SELECT id, target_name, replace(query_name, ' ', '_') AS query_name, query_len, 1e-4::DOUBLE AS i_evalue, 40.25::DOUBLE AS dom_score, env_from, env_to, 0.75::DOUBLE AS acc FROM h",
+    "id_registry": f"SELECT DISTINCT {_ID('name')} AS id, name, 'model' AS kind FROM models UNION SELECT {_ID(chr(39) + 'family:' + chr(39) + ' || family')}, family, 'family' FROM models",
+    "union_stages": "SELECT search_mode, database, strand, count(*) AS n_hits, count(DISTINCT target_name) AS n_frames FROM legacy_hits GROUP BY 1, 2, 3",
+}
