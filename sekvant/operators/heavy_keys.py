@@ -9,7 +9,7 @@ leaves a small state: how often each value occurs, its first and last value and
 the number of changes in between. The states are merged in chunk order.
 
 Input partitions must be reproducible: a scan of files is. For other inputs pass
-``stable=False``, which writes the two needed columns to the shared folder first.
+``stable=False``, which writes the two needed columns and every row's place to the shared folder first.
 
 Defined cases: rows with a null key belong to no key; null values count as rows
 but are never the usual value, a key with only nulls has the usual value null;
@@ -30,10 +30,10 @@ CHUNK_ROWS = 65_536
 def numbered(df: DataFrame, key: str | Column, value: str | Column, *, chunk_rows: int = CHUNK_ROWS, stable: bool = True) -> DataFrame:
     """``(k, v, row_no, chunk)``: the row's number within its key from 1, in input order."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    rows = df.select(col(key).alias("k"), col(value).alias("v"))
+    rows = df.select(col(key).alias("k"), col(value).alias("v"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     if not stable:
         rows = staged(rows, "heavy-keys")
-    rows = rows.select("k", "v", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).where(F.col("k").isNotNull())
+    rows = rows.where(F.col("k").isNotNull())
     earlier = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).select("k", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     local = rows.withColumn("i", F.row_number().over(Window.partitionBy("k", "part").orderBy("at")))
