@@ -26,30 +26,27 @@ _CHUNK = 16
 
 
 def _sweep(limit: float):
-    """Discarded row numbers of rows in sweep order, island by island."""
+    """Hashes of discarded rows, from rows in sweep order, island by island."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         island, last = None, None
         for b in batches:
             gone = []
-            for at, i, start, end, score, same in zip(b["island"], b["i"], b["f_start"], b["f_end"], b["score"], b["same"]):
+            for at, i, start, end, score in zip(b["island"], b["i"], b["f_start"], b["f_end"], b["score"]):
                 if at != island or last is None:
-                    island, last = at, (i, start, end, score, same)
+                    island, last = at, (i, start, end, score)
                     continue
-                if same == last[4]:
+                if i == last[0]:
                     # The same feature again: neither copy is kept, yet it goes on shading others.
-                    gone += [i, last[0]]
+                    gone.append(i)
                     continue
                 shared = max(0, min(end, last[2]) - max(start, last[1]))
                 if 100.0 * shared / min(end - start + 1, last[2] - last[1] + 1) > limit:
-                    if score > last[3]:
-                        gone.append(last[0])
-                        last = (i, start, end, score, same)
-                    else:
-                        gone.append(i)
-                else:
-                    last = (i, start, end, score, same)
-            yield pd.DataFrame({"i": pd.Series(gone, dtype="int64")})
+                    gone.append(last[0] if score > last[3] else i)
+                    if score <= last[3]:
+                        continue
+                last = (i, start, end, score)
+            yield pd.DataFrame({"gone_": pd.Series(gone, dtype="int64")})
 
     return run
 
@@ -60,17 +57,17 @@ def resolve_overlaps(features: DataFrame, *, group: tuple[str, ...] = ("chrom",
     Rows equal in every column count as the same feature, and all of them go.
     """
     rows = features.where(F.col("f_start").isNotNull() & F.col("f_end").isNotNull()).withColumns({"f_start": F.least("f_start", "f_end"), "f_end": F.greatest("f_start", "f_end")})
-    key = F.struct(*group)
-    own = F.struct(*sorted(features.columns))
-    islands = stretches(rows, key, "f_start", "f_end", name="k").where(F.col("kind") == COVERED)
-    spans = islands.select("k", F.col("pos_from").alias("island"), "pos_to", F.explode(F.sequence(F.expr(f"shiftright(pos_from, {_CHUNK})"), F.expr(f"shiftright(pos_to, {_CHUNK})"))).alias("chunk"))
-    keyed = rows.withColumns({"k": key, "chunk": F.expr(f"shiftright(cast(f_start AS bigint), {_CHUNK})")})
-    placed = keyed.join(spans, ["k", "chunk"]).where(F.col("f_start").between(F.col("island"), F.col("pos_to")))
-    slim = placed.select("k", "island", F.xxhash64(own).alias("i"), "f_start", "f_end", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.coalesce(F.col("gid").cast("string"), F.lit("")).alias("gid"), F.xxhash64(own).alias("same"))
-    ordered = slim.repartition("k", "island").sortWithinPartitions("k", "island", "f_start", "f_end", F.desc("score"), "gid", "same")
-    streamed = ordered.select(F.xxhash64("k", "island").alias("island"), "i", "f_start", "f_end", "score", "same")
-    gone = streamed.mapInPandas(_sweep(max_overlap), T.StructType([T.StructField("i", T.LongType())])).distinct()
-    return rows.withColumn("i_", F.xxhash64(own)).join(gone, F.col("i_") == F.col("i"), "left_anti").drop("i_")
+    own = F.xxhash64(F.struct(*sorted(features.columns)), F.array(*(F.col(c).isNull() for c in sorted(features.columns))))
+    # Only what the sweep needs, under its own names.
+    slim = rows.select(F.struct(*group).alias("k"), own.alias("i"), "f_start", "f_end", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.coalesce(F.col("gid").cast("string"), F.lit("")).alias("gid"))
+    chunk = lambda c: F.expr(f"shiftright(cast({c} AS bigint), {_CHUNK})")
+    islands = stretches(slim, "k", "f_start", "f_end", name="k").where(F.col("kind") == COVERED)
+    spans = islands.select("k", F.col("pos_from").alias("island"), "pos_to", F.explode(F.sequence(chunk("pos_from"), chunk("pos_to"))).alias("chunk"))
+    placed = slim.withColumn("chunk", chunk("f_start")).join(spans, ["k", "chunk"]).where(F.col("f_start").between(F.col("island"), F.col("pos_to")))
+    ordered = placed.repartition("k", "island").sortWithinPartitions("k", "island", "f_start", "f_end", F.desc("score"), "gid", "i")
+    streamed = ordered.select(F.xxhash64("k", "island").alias("island"), "i", "f_start", "f_end", "score")
+    gone = streamed.mapInPandas(_sweep(max_overlap), T.StructType([T.StructField("gone_", T.LongType())])).distinct()
+    return rows.withColumn("gone_", own).join(gone, "gone_", "left_anti").drop("gone_")
 
 
 def class_summary(features: DataFrame, classification: str = "classification") -> DataFrame:
