@@ -3,7 +3,8 @@
 Triplet moment method. For two annotators the rate of agreement, corrected for the
 agreement that chance gives, is the product of their chance-corrected accuracies;
 so three annotators i, j, l give q_i**2 = r_ij * r_il / r_jl, and the median over
-all pairs (j, l) is an estimate that a few dependent annotators do not bend. Pairs
+all pairs (j, l), weighted by how surely each can tell, is an estimate that a few
+dependent annotators do not bend. Pairs
 that agree more than the product of their accuracies allows are dependent: the
 less accurate of the two is taken to copy the other at the rate that explains the
 excess, triplets with such a pair are dropped, and the accuracies solved again.
@@ -39,8 +40,11 @@ from pyspark.sql import functions as F
 MAX_ANNOTATORS, MAX_LABELS, MAX_COUNTS = 64, 2_000, 5_000_000
 #: Pairs of votes from which an agreement rate counts; weight of the one-accuracy model beside counts.
 MIN_PAIRS, SHRINK = 20, 20.0
-#: Copying below this rate, or within so many standard errors, is taken as chance.
-MIN_COPY, SIGMAS = 0.3, 4.0
+#: Copying below this rate, or an excess of agreement below this or within so many standard
+#: errors, is taken as chance: annotators who are nearly always right agree a little more
+#: than the product of their accuracies without copying.
+#: On parts, which are compared on fewer votes of like groups, the excess must be larger.
+MIN_COPY, MIN_EXCESS, MIN_PART_EXCESS, SIGMAS = 0.3, 0.06, 0.2, 4.0
 
 
 @dataclass
@@ -57,7 +61,7 @@ class Fit:
     marginal: np.ndarray  # the same with copied votes
 
 
-def _moments(agree: np.ndarray, n: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+def _moments(agree: np.ndarray, n: np.ndarray, chance: np.ndarray, least: float = MIN_EXCESS) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
     """Chance-corrected accuracies, and which annotator copies which at what rate."""
     d = len(n)
     ok = n >= MIN_PAIRS
@@ -73,9 +77,12 @@ def _moments(agree: np.ndarray, n: np.ndarray, chance: np.ndarray) -> tuple[np.n
                 trio = [tuple(sorted(p)) for p in ((i, j), (i, k), (j, k))]
                 rates = [r[p] for p in trio]
                 if not dependent & set(trio) and not np.isnan(rates).any() and rates[2] > 0.05:
-                    found.append(max(rates[0], 0) * max(rates[1], 0) / rates[2])
+                    sure = min(n[p] for p in trio) * (rates[0] * rates[1] * rates[2]) ** 2
+                    found.append((max(rates[0], 0) * max(rates[1], 0) / rates[2], sure))
             if found:
-                q[i] = np.sqrt(np.median(found))
+                found.sort()
+                upto = np.cumsum([w for _, w in found])
+                q[i] = np.sqrt(found[int(np.searchsorted(upto, upto[-1] / 2))][0])
         return np.clip(q, 0.05, 0.995)
 
     q, copies = solve(set()), []
@@ -83,7 +90,7 @@ def _moments(agree: np.ndarray, n: np.ndarray, chance: np.ndarray) -> tuple[np.n
         copies = []
         for i, j in itertools.combinations(range(d), 2):
             excess = r[i, j] - q[i] * q[j]
-            if np.isnan(excess):
+            if np.isnan(excess) or excess < least:
                 continue
             # The error of the rate that would be seen without copying.
             free = chance[i, j] + (1 - chance[i, j]) * q[i] * q[j]
@@ -149,14 +156,14 @@ def fit(annotators: list[str], labels: list[tuple[str, str | None]], single: np.
         return agree, n, chance
 
     q0, copies = _moments(*rates(0))
-    q1, copies1 = _moments(*rates(1))
+    q1, copies1 = _moments(*rates(1), MIN_PART_EXCESS)
     seen = {c[0] for c in copies}
     copies += [c for c in copies1 if c[0] not in seen]
     counts = single.sum(axis=0)
     weight = counts @ to_group / max(counts.sum(), 1)
     p0 = q0 + (1 - q0) * float(weight @ weight)
     inner = [float(np.square(counts[m] / max(counts[m].sum(), 1)).sum()) if len(m) else 1.0 for m in members]
-    p1 = q1 + (1 - q1) * float(np.average(inner, weights=np.maximum(weight, 1e-9)))
+    p1 = q1 + (1 - q1) * (float(np.average(inner, weights=np.maximum(weight, 1e-9))) if inner else 0.0)
 
     linked = {tuple(sorted(c[:2])) for c in copies}
     between = lambda i, j: joint[i, j] if i < j else joint[j, i].T
@@ -247,7 +254,7 @@ class Annotations:
 
 def annotations(votes: DataFrame) -> Annotations:
     """From rows ``(item, annotator, grp, part)``, at most one per item and annotator; part may be null."""
-    votes = votes.where(F.col("item").isNotNull() & F.col("annotator").isNotNull() & F.col("grp").isNotNull())
+    votes = votes.select("item", "annotator", "grp", "part").where(F.col("item").isNotNull() & F.col("annotator").isNotNull() & F.col("grp").isNotNull())
     kinds = votes.groupBy("annotator", "grp", "part").agg(F.count(F.lit(1)).alias("n")).limit(MAX_ANNOTATORS * MAX_LABELS + 1).collect()
     who = sorted({x.annotator for x in kinds})
     labels = sorted({(x.grp, x.part) for x in kinds}, key=lambda x: (x[0], x[1] is None, x[1] or ""))
