@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sekvant.functions import names, ontology, scores, sequences
-from sekvant.operators import best, classify, models, overlap, screening
+from sekvant.operators import best, classify, genome, models, overlap, screening
 from sekvant.sources import readers, writers
 from sekvant.tables import table
 
@@ -267,6 +267,36 @@ def _screen(spark, d):
     return screening.best_submodel(_hits(spark, d), parents)
 
 
+def _window_lengths(spark, d):
+    """Lengths of the sequences as the translated frames give them."""
+    hits = table(spark, d, "legacy_hits").where("target_name IS NOT NULL AND target_len IS NOT NULL")
+    return hits.groupBy(names.frame_suffix(F.col("target_name"))["base"].alias("window_id")).agg((F.max("target_len") * 3 + 2).alias("length"))
+
+
+def _feature_columns(rows):
+    return rows.select("chrom", "type", "f_start", "f_end", "score", "strand", "phase", "classification", "gid", F.col("extract.src").alias("src"))
+
+
+def genome_features(spark, d):
+    """Protein hits of the path database as genomic features."""
+    hits = table(spark, d, "legacy_hits").where("database = 'axdb'")
+    return _feature_columns(genome.features(hits, PATH_DB, genome.PROTEIN, lengths=_window_lengths(spark, d)))
+
+
+def genome_elements(spark, d):
+    """Nucleotide hits of the constant database, typed as elements."""
+    lines = spark.createDataFrame([(0, "SINE_element\tSO:0000206\tSINE")], "line_no int, value string")
+    hits = table(spark, d, "legacy_hits").where("database = 'sinefold' AND ali_from IS NOT NULL AND ali_to IS NOT NULL")
+    return _feature_columns(genome.features(hits, CONSTANT_DB, genome.NUCLEOTIDE, aliases=ontology.alias_table(lines)))
+
+
+def genome_annotation(spark, d):
+    """Features of both kinds, overlaps resolved, as GFF3 lines."""
+    both = genome.features(table(spark, d, "legacy_hits").where("database = 'axdb'"), PATH_DB, genome.PROTEIN, lengths=_window_lengths(spark, d))
+    elements = genome.features(table(spark, d, "legacy_hits").where("database = 'sinefold'"), CONSTANT_DB, genome.NUCLEOTIDE)
+    return genome.gff_lines(overlap.resolve_overlaps(both.unionByName(elements)))
+
+
 def facet_primary_secondary(spark, d):
     return screening.screened(_screen(spark, d), _families(spark, d))
 
@@ -368,4 +398,4 @@ def classified_ids(spark, d):
     return classify.database_lists(table(spark, d, "legacy_hits"))
 
 
-QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, so_lookup, pass2_inherit, split_classified, blast_classified_by, dom_gff3_rows, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids)}
+QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, so_lookup, pass2_inherit, split_classified, blast_classified_by, dom_gff3_rows, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, genome_features, genome_elements, genome_annotation, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids)}

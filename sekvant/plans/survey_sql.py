@@ -246,6 +246,30 @@ SELECT dna.name, split_part(dna.name, '#', 1) || '#' || CASE WHEN few.name IS NU
     "genome_summary": f"""WITH {_FEAT}, p AS (SELECT f_end - f_start + 1 AS n, unnest(CASE WHEN contains(classification, '/') THEN [split_part(classification, '/', 1), classification, 'Total'] ELSE [classification, 'Total'] END) AS path FROM feat)
 SELECT path, count(*) AS number, sum(n)::BIGINT AS total_length, round(sum(n) / count(*), 1) AS mean_length,
   CASE split_part(path, '/', 1) WHEN 'LTR' THEN 1 WHEN 'SINE' THEN 6 ELSE 12 END::INTEGER AS place FROM p GROUP BY path""",
+    "genome_features": rf"""
+WITH x AS (SELECT *, CASE WHEN {SPLIT.format("target_name")} THEN regexp_extract(target_name, '(?s)^(.*)\|(fwd|rev)', 1) ELSE target_name END AS win FROM legacy_hits),
+n AS (SELECT win, max(target_len) * 3 + 2 AS len FROM x WHERE target_name IS NOT NULL AND target_len IS NOT NULL GROUP BY 1),
+q AS (SELECT *, dom_score / query_len AS norm_score, 100.0::DOUBLE * (hmm_to - hmm_from + 1) / query_len AS hmm_cov FROM x
+  WHERE database = 'axdb' AND target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND evalue IS NOT NULL),
+y AS (SELECT q.*, len, right(target_name, 1)::INTEGER - 1 AS fr, contains(split_part(target_name, '|', -1), 'fwd') AS fwd, regexp_matches(q.win, '^(.+):(\d+)-(\d+)$') AS isw
+  FROM q JOIN n ON n.win = q.win WHERE hmm_cov >= 20 AND evalue <= 1e-3 AND acc >= 0.5 AND norm_score >= 0.1),
+z AS (SELECT *, CASE WHEN fwd THEN (env_from - 1) * 3 + fr + 1 ELSE len - (env_to * 3 + fr) + 1 END AS a, CASE WHEN fwd THEN env_to * 3 + fr ELSE len - ((env_from - 1) * 3 + fr) END AS b,
+  CASE WHEN isw THEN regexp_extract(win, '^(.+):(\d+)-(\d+)$', 1) ELSE win END AS chrom, CASE WHEN isw THEN regexp_extract(win, '^(.+):(\d+)-(\d+)$', 2)::BIGINT - 1 ELSE 0 END AS sh,
+  {_path("query_name")["o"]} AS o, {_path("query_name")["s"]} AS s, {_path("query_name")["c"]} AS c FROM y),
+w AS (SELECT *, least(a, b) + sh AS f_start, greatest(a, b) + sh AS f_end, CASE WHEN starts_with(c, 'Ty') OR s NOT IN ('Corvia', 'Gestrel') THEN 'unknown' ELSE c END AS shown FROM z)
+SELECT chrom, 'CDS' AS type, f_start, f_end, round_even(norm_score * 1000, 0) / 1000 AS score, CASE WHEN fwd THEN '+' ELSE '-' END AS strand, fr::VARCHAR AS phase,
+  array_to_string(list_filter([o, CASE WHEN s <> o THEN s END, CASE WHEN shown NOT IN (o, s) THEN shown END], lambda v: v IS NOT NULL AND v <> 'unknown'), '/') AS classification,
+  chrom || ':' || f_start || '-' || f_end || '|' || query_name AS gid, 'aa' AS src FROM w""",
+    "genome_elements": f"""
+WITH q AS (SELECT *, dom_score / query_len AS norm_score, 100.0::DOUBLE * (hmm_to - hmm_from + 1) / query_len AS hmm_cov, {SPLIT.format("target_name")} AS ok FROM legacy_hits
+  WHERE database = 'sinefold' AND target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND evalue IS NOT NULL
+  AND ali_from IS NOT NULL AND ali_to IS NOT NULL),
+y AS (SELECT *, regexp_matches(w, '^(.+):([0-9]+)-([0-9]+)$') AS isw FROM (SELECT *, CASE WHEN ok THEN regexp_extract(target_name, '(?s)^(.*)[|](fwd|rev)', 1) ELSE target_name END AS w FROM q)
+  WHERE hmm_cov >= 20 AND evalue <= 1e-3 AND acc >= 0.5 AND norm_score >= 0.1),
+z AS (SELECT *, CASE WHEN isw THEN regexp_extract(w, '^(.+):([0-9]+)-([0-9]+)$', 1) ELSE w END AS chrom, CASE WHEN isw THEN regexp_extract(w, '^(.+):([0-9]+)-([0-9]+)$', 2)::BIGINT - 1 ELSE 0 END AS sh FROM y)
+SELECT chrom, 'SINE_element' AS type, least(ali_from, ali_to) + sh AS f_start, greatest(ali_from, ali_to) + sh AS f_end, round_even(norm_score * 1000, 0) / 1000 AS score,
+  CASE WHEN NOT ok THEN '.' WHEN contains(split_part(target_name, '|', -1), 'fwd') THEN '+' ELSE '-' END AS strand, '.' AS phase, 'SINE' AS classification,
+  chrom || ':' || (least(ali_from, ali_to) + sh) || '-' || (greatest(ali_from, ali_to) + sh) || '|' || query_name AS gid, 'raw' AS src FROM z""",
     "overlap_pairs": f"""WITH {_FEAT}, u AS (SELECT DISTINCT * FROM feat), p AS (
   SELECT *, lag(f_start) OVER w AS ps, lag(f_end) OVER w AS pe FROM u WINDOW w AS (PARTITION BY chrom, type ORDER BY f_start, f_end, score DESC, gid, strand))
 SELECT chrom, type, f_start, f_end, gid, round(CASE WHEN least(f_end - f_start + 1, pe - ps + 1) > 0 THEN 100.0::DOUBLE * greatest(0, least(f_end, pe) - greatest(f_start, ps)) / least(f_end - f_start + 1, pe - ps + 1) ELSE 0 END, 6) AS pct
