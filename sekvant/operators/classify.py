@@ -165,10 +165,10 @@ def inherit_from_similar(blast: DataFrame, classified: DataFrame, calls: DataFra
     """Calls of unclassified queries from their best strong similarity hit.
 
     Hits need 80 percent identity, 80 percent query coverage and 80 bases; of these
-    the highest bit score of a query counts even if its subject has no call. Only
-    order and superfamily are inherited.
+    the highest bit score of a query counts even if its subject has no call; hits
+    without subject or bit score do not count. Only order and superfamily are inherited.
     """
-    strong = blast.where((F.col("pident") >= 80) & (F.col("qcovs") >= 80) & (F.col("length") >= 80))
+    strong = blast.where(F.col("bitscore").isNotNull() & F.col("sseqid").isNotNull() & (F.col("pident") >= 80) & (F.col("qcovs") >= 80) & (F.col("length") >= 80))
     if database:
         strong = strong.where(F.col("classified_by").contains(database))
     open_ = strong.join(classified.select(F.col("id").alias("qseqid")).distinct(), "qseqid", "left_anti")

@@ -212,7 +212,7 @@ r AS (SELECT l.o, l.s, coalesce(b.so_name, 'repeat_region') AS so_name, coalesce
 SELECT o AS "order", s AS superfamily, so_name, so_id, CASE so_id WHEN 'SO:0000182' THEN 'DNA_transposon' WHEN 'SO:0000186' THEN 'LTR_retrotransposon' WHEN 'SO:0000189' THEN 'non_LTR_retrotransposon'
   WHEN 'SO:0000194' THEN 'LINE_element' WHEN 'SO:0000206' THEN 'SINE_element' WHEN 'SO:0000208' THEN 'terminal_inverted_repeat_element' WHEN 'SO:0000544' THEN 'helitron' WHEN 'SO:0000657' THEN 'repeat_region' ELSE so_name END AS gff_type FROM r""",
     "pass2_inherit": f"""WITH {REC}, s AS (
-  SELECT * FROM blast_hits b WHERE pident >= 80 AND qcovs >= 80 AND length >= 80
+  SELECT * FROM blast_hits b WHERE bitscore IS NOT NULL AND sseqid IS NOT NULL AND pident >= 80 AND qcovs >= 80 AND length >= 80
   AND NOT EXISTS (SELECT 1 FROM legacy_hits h WHERE h.base_seq = b.qseqid AND h.i_evalue <= 1e-30)),
 t AS (SELECT qseqid, sseqid, bitscore FROM s QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, sseqid) = 1)
 SELECT t.qseqid AS id, r."order", r.superfamily, 'unknown' AS clade, 'none' AS complete, '?' AS strand, 'none' AS domains, t.sseqid AS source, t.bitscore
