@@ -20,7 +20,7 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares, as the session names it."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="sekvant-")
         sc.setCheckpointDir(named)
