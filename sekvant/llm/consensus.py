@@ -223,7 +223,8 @@ def vote(model: Fit, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             s += np.where(has, said, 0.0)
         scores[rows, k] = s
     # A group alone is a label only where no vote names one of its parts.
-    group = np.array([hash(g) for g, _ in model.labels] or [0])
+    number = {g: i for i, g in enumerate(sorted({g for g, _ in model.labels}))}
+    group = np.array([number[g] for g, _ in model.labels] or [0])
     part = np.array([p is not None for _, p in model.labels] or [False])
     for k in range(d):
         for i in range(d):

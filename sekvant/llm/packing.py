@@ -8,11 +8,12 @@ and a new one opened; a container without free space closes at once. An item
 above the capacity is cut into full containers and one rest, and only the rest
 meets other items.
 
-Items are spread evenly over packers by a hash of all their columns, whatever
-their identifiers, and each packer streams its items in the order of their
-identifiers, so a repeated run gives the same containers and memory stays that of
-the open bins. A packer has about ``items_per_packer`` items; the containers left
-open at its end are all that the split costs.
+Items are spread evenly over packers by a hash of identifier, size and place, so that
+repeated identifiers are spread too, and each packer streams its items in the order
+of their identifiers; memory stays that of the open bins. A packer has about
+``items_per_packer`` items; the containers left open at its end are all that the
+split costs. With one packer a repeated run gives the same containers; with more the
+spread follows the order in which rows were staged.
 
 Defined cases: null and negative sizes count as 0; an item of size 0 takes a place
 in the best container and no space; null identifiers and repeated rows are items
