@@ -37,6 +37,8 @@ def stretches(df: DataFrame, key: str | Column, start: str | Column, end: str |
         .agg(F.sum("x.d").alias("d"))
         .where("d <> 0")
         .withColumn("chunk", F.expr(f"shiftright(p, {chunk_bits})"))
+        # Never null; said here, it is said in both uses below, so that they share one shuffle.
+        .where(F.col("chunk").isNotNull())
     )
     in_chunk = Window.partitionBy("k", "chunk").orderBy("p")
     earlier = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
