@@ -273,6 +273,18 @@ z AS (SELECT *, CASE WHEN isw THEN regexp_extract(w, '^(.+):([0-9]+)-([0-9]+)$',
 SELECT chrom, 'SINE_element' AS type, least(ali_from, ali_to) + sh AS f_start, greatest(ali_from, ali_to) + sh AS f_end, round_even(norm_score * 1000, 0) / 1000 AS score,
   CASE WHEN NOT ok THEN '.' WHEN contains(split_part(target_name, '|', -1), 'fwd') THEN '+' ELSE '-' END AS strand, '.' AS phase, 'SINE' AS classification,
   chrom || ':' || (least(ali_from, ali_to) + sh) || '-' || (greatest(ali_from, ali_to) + sh) || '|' || query_name AS gid, 'raw' AS src FROM z""",
+    "features_resolved": f"""WITH RECURSIVE {_FEAT},
+o AS (SELECT *, row(f_start, f_end, score, strand, gid, classification) AS val, row_number() OVER (PARTITION BY chrom, type ORDER BY f_start, f_end, score DESC, gid, strand, classification) AS rn
+  FROM (SELECT * REPLACE (least(f_start, f_end) AS f_start, greatest(f_start, f_end) AS f_end) FROM feat WHERE f_start IS NOT NULL AND f_end IS NOT NULL)),
+sw AS (
+  SELECT chrom, type, rn, rn AS last, NULL::BIGINT AS gone FROM o WHERE rn = 1
+  UNION ALL
+  SELECT f.chrom, f.type, f.rn,
+    CASE WHEN f.val = l.val THEN s.last WHEN 100.0 * greatest(0, least(f.f_end, l.f_end) - greatest(f.f_start, l.f_start)) / least(f.f_end - f.f_start + 1, l.f_end - l.f_start + 1) > 20 AND f.score <= l.score THEN s.last ELSE f.rn END,
+    CASE WHEN f.val = l.val THEN f.rn WHEN 100.0 * greatest(0, least(f.f_end, l.f_end) - greatest(f.f_start, l.f_start)) / least(f.f_end - f.f_start + 1, l.f_end - l.f_start + 1) > 20 THEN CASE WHEN f.score > l.score THEN s.last ELSE f.rn END END
+  FROM sw s JOIN o f ON f.chrom = s.chrom AND f.type = s.type AND f.rn = s.rn + 1 JOIN o l ON l.chrom = s.chrom AND l.type = s.type AND l.rn = s.last),
+lost AS (SELECT DISTINCT o.chrom, o.type, o.val FROM sw JOIN o ON o.chrom = sw.chrom AND o.type = sw.type AND o.rn = sw.gone)
+SELECT chrom, type, f_start, f_end, score, gid FROM o ANTI JOIN lost USING (chrom, type, val)""",
     "overlap_pairs": f"""WITH {_FEAT}, u AS (SELECT DISTINCT * FROM feat), p AS (
   SELECT *, lag(f_start) OVER w AS ps, lag(f_end) OVER w AS pe FROM u WINDOW w AS (PARTITION BY chrom, type ORDER BY f_start, f_end, score DESC, gid, strand))
 SELECT chrom, type, f_start, f_end, gid, round(CASE WHEN least(f_end - f_start + 1, pe - ps + 1) > 0 THEN 100.0::DOUBLE * greatest(0, least(f_end, pe) - greatest(f_start, ps)) / least(f_end - f_start + 1, pe - ps + 1) ELSE 0 END, 6) AS pct
