@@ -173,6 +173,13 @@ def pass2_inherit(spark, d):
     return classify.inherit_from_similar(table(spark, d, "blast_hits"), done, calls)
 
 
+def pass2_inherit_all(spark, d):
+    """Inheritance from one call per element, reconciled over all databases; elements with a call inherit nothing."""
+    recorded = _recorded(spark, d)
+    calls = classify.reconcile(recorded, table(spark, d, "harmonization"), _scope(spark, d))
+    return classify.inherit_from_similar(table(spark, d, "blast_hits"), recorded, calls)
+
+
 def split_classified(spark, d):
     seqs = readers.sequence_lengths(table(spark, d, "sequences"))
     with_, without = classify.split_by_hits(seqs, table(spark, d, "legacy_hits"))
@@ -398,4 +405,4 @@ def classified_ids(spark, d):
     return classify.database_lists(table(spark, d, "legacy_hits"))
 
 
-QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, so_lookup, pass2_inherit, split_classified, blast_classified_by, dom_gff3_rows, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, genome_features, genome_elements, genome_annotation, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids)}
+QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, so_lookup, pass2_inherit, pass2_inherit_all, split_classified, blast_classified_by, dom_gff3_rows, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, genome_features, genome_elements, genome_annotation, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids)}

@@ -220,6 +220,12 @@ SELECT o AS "order", s AS superfamily, so_name, so_id, CASE so_id WHEN 'SO:00001
 t AS (SELECT qseqid, sseqid, bitscore FROM s QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, sseqid) = 1)
 SELECT t.qseqid AS id, r."order", r.superfamily, 'unknown' AS clade, 'none' AS complete, '?' AS strand, 'none' AS domains, t.sseqid AS source, t.bitscore
 FROM t JOIN rows r ON r.id = t.sseqid AND r.database = 'axdb'""",
+    "pass2_inherit_all": f"""WITH {_reconcile(REC)}, s AS (
+  SELECT * FROM blast_hits b WHERE bitscore IS NOT NULL AND sseqid IS NOT NULL AND pident >= 80 AND qcovs >= 80 AND length >= 80
+  AND NOT EXISTS (SELECT 1 FROM rows r WHERE r.id = b.qseqid)),
+t AS (SELECT qseqid, sseqid, bitscore FROM s QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, sseqid) = 1)
+SELECT t.qseqid AS id, oh AS "order", sh AS superfamily, 'unknown' AS clade, 'none' AS complete, '?' AS strand, 'none' AS domains, t.sseqid AS source, t.bitscore
+FROM t JOIN prim ON prim.id = t.sseqid""",
     "split_classified": "SELECT name, max(length) AS length, name IN (SELECT base_seq FROM legacy_hits WHERE base_seq IS NOT NULL) AS has_hit FROM sequences WHERE name IS NOT NULL GROUP BY name",
     "blast_classified_by": """
 WITH l AS (SELECT base_seq, string_agg(database, ',' ORDER BY database) AS c FROM (SELECT DISTINCT base_seq, database FROM legacy_hits WHERE base_seq IS NOT NULL AND database IS NOT NULL) GROUP BY 1)
