@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sekvant.functions import names, ontology, scores, sequences
 from sekvant.operators import best, classify, genome, models, overlap, screening
 from sekvant.sources import readers, writers
+from sekvant.staging import staged
 from sekvant.tables import table
 
 #: How the two databases with readable model names are laid out.
@@ -297,11 +298,25 @@ def genome_elements(spark, d):
     return _feature_columns(genome.features(hits, CONSTANT_DB, genome.NUCLEOTIDE, aliases=ontology.alias_table(lines)))
 
 
+def _protein_features(spark, d):
+    """Features of both databases of protein models, by path and by prefix."""
+    hits, lengths = table(spark, d, "legacy_hits"), _window_lengths(spark, d)
+    a = genome.features(hits.where("database = 'axdb'"), PATH_DB, genome.PROTEIN, lengths=lengths)
+    b = genome.features(hits.where("database = 'gyrodb'"), PREFIX_DB, genome.PROTEIN, lengths=lengths, clade_map=_clade_map(spark, d))
+    return a.unionByName(b)
+
+
+def genome_features_all(spark, d):
+    """Protein hits of the path and the prefix database as genomic features."""
+    return _feature_columns(_protein_features(spark, d))
+
+
 def genome_annotation(spark, d):
-    """Features of both kinds, overlaps resolved, as GFF3 lines."""
-    both = genome.features(table(spark, d, "legacy_hits").where("database = 'axdb'"), PATH_DB, genome.PROTEIN, lengths=_window_lengths(spark, d))
+    """Features of all three readable databases, overlaps resolved, as GFF3 lines."""
     elements = genome.features(table(spark, d, "legacy_hits").where("database = 'sinefold'"), CONSTANT_DB, genome.NUCLEOTIDE)
-    return genome.gff_lines(overlap.resolve_overlaps(both.unionByName(elements)))
+    # The sweep reads its rows several times; written once, their plan does not repeat.
+    rows = staged(_protein_features(spark, d).unionByName(elements), "annotation-features")
+    return genome.gff_lines(overlap.resolve_overlaps(rows))
 
 
 def facet_primary_secondary(spark, d):
@@ -405,4 +420,4 @@ def classified_ids(spark, d):
     return classify.database_lists(table(spark, d, "legacy_hits"))
 
 
-QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, so_lookup, pass2_inherit, pass2_inherit_all, split_classified, blast_classified_by, dom_gff3_rows, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, genome_features, genome_elements, genome_annotation, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids)}
+QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, so_lookup, pass2_inherit, pass2_inherit_all, split_classified, blast_classified_by, dom_gff3_rows, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, genome_features, genome_features_all, genome_elements, genome_annotation, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids)}

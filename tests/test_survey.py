@@ -1,7 +1,7 @@
 """Queries that must use every database, on tables of a few rows."""
 
 from sekvant.plans import queries
-from tests.compare import DATA
+from tests.compare import DATA, views
 
 CLASSIFICATIONS = "cls_id long, seq_id string, database string, te_order string, superfamily string, clade string, loaded_at int"
 BLAST = "hit_id long, qseqid string, sseqid string, pident double, qcovs double, length int, bitscore double, classified_by string"
@@ -17,3 +17,17 @@ def test_inheritance_takes_every_database(spark, tmp_path):
         spark.read.parquet(f"{DATA}/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     got = queries()["pass2_inherit_all"](spark, str(tmp_path)).select("id", "order", "superfamily", "source").collect()
     assert [tuple(r) for r in got] == [("q1", "TIR", "Hadrix", "p")]
+
+
+def test_annotation_takes_the_prefix_database(spark):
+    d = f"{DATA}/sf0.001"
+    usable = """target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND target_len IS NOT NULL
+      AND 100.0::DOUBLE * (hmm_to - hmm_from + 1) / query_len >= 20 AND evalue <= 1e-3 AND acc >= 0.5 AND dom_score / query_len >= 0.1"""
+    want = views("sf0.001").execute(f"SELECT query_name, count(*) FROM legacy_hits WHERE database = 'gyrodb' AND {usable} GROUP BY 1").fetchall()
+    every = queries()["genome_features_all"](spark, d)
+    more = every.exceptAll(queries()["genome_features"](spark, d)).selectExpr("substring_index(gid, '|', -1) AS model").groupBy("model").count().collect()
+    assert want and sorted(map(tuple, more)) == sorted(want)
+    lines = queries()["genome_annotation"](spark, d).select("gid", "line").collect()
+    names = {model for model, _ in want}
+    found = [r for r in lines if r["gid"].split("|")[-1] in names]
+    assert found and all("\tCDS\t" in r["line"] for r in found)
