@@ -128,7 +128,7 @@ def classify_constant(spark, d):
 
 
 def _calls(spark, d):
-    """Calls of both databases, as the voters give them."""
+    """Calls of the two databases with structured names, as the voters give them."""
     a = classify.classify(_hits(spark, d, "axdb"), PATH_DB).withColumn("database", F.lit("axdb"))
     b = classify.classify(_hits(spark, d, "gyrodb"), PREFIX_DB, clade_map=_clade_map(spark, d)).withColumn("database", F.lit("gyrodb"))
     return a.unionByName(b)
@@ -162,6 +162,13 @@ def reconcile_classified(spark, d):
     return _scored(classify.reconcile(_calls(spark, d), table(spark, d, "harmonization"), _scope(spark, d)).select("id", "order", "superfamily", "clade", "complete", "strand", "domains", "primary_db", "score"))
 
 
+def reconcile_classified_all(spark, d):
+    """Fresh calls of all three readable databases reconciled, with the number of databases that call the element."""
+    c = classify.classify(_hits(spark, d, "sinefold"), CONSTANT_DB).withColumn("database", F.lit("sinefold"))
+    out = classify.reconcile(_calls(spark, d).unionByName(c), table(spark, d, "harmonization"), _scope(spark, d))
+    return _scored(out.select("id", "order", "superfamily", "clade", "complete", "strand", "domains", "primary_db", "score", F.size("secondary").alias("n_calls")))
+
+
 def so_lookup(spark, d):
     labels = table(spark, d, "classifications").where("te_order IS NOT NULL").select(F.col("te_order").alias("order"), "superfamily").distinct()
     lines = spark.createDataFrame([(0, "LTR_retrotransposon\tSO:0000186\tLTR,LTR/Corvia"), (1, "Gestrel_retrotransposon\tSO:0009001\tLTR/Gestrel,gestrel"), (2, "helitron\tSO:0000544\tHelitron"), (3, "LINE_element\tSO:0000194\tLINE"), (4, "SINE_element\tSO:0000206\tSINE"), (5, "Hadrix_transposon\tSO:0009002\tDNA/Hadrix"), (6, "terminal_inverted_repeat\tSO:0000481\tTIR")], "line_no int, value string")
@@ -420,4 +427,4 @@ def classified_ids(spark, d):
     return classify.database_lists(table(spark, d, "legacy_hits"))
 
 
-QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, so_lookup, pass2_inherit, pass2_inherit_all, split_classified, blast_classified_by, dom_gff3_rows, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, genome_features, genome_features_all, genome_elements, genome_annotation, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids)}
+QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, reconcile_classified_all, so_lookup, pass2_inherit, pass2_inherit_all, split_classified, blast_classified_by, dom_gff3_rows, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, genome_features, genome_features_all, genome_elements, genome_annotation, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids)}

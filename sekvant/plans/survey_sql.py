@@ -199,6 +199,10 @@ FROM prim JOIN nc USING (id) LEFT JOIN lw ON lw.id = prim.id""",
     "reconcile_classified": f"""WITH {_reconcile(f"""rows AS (SELECT 'axdb' AS database, * FROM (WITH {_AX_CALLS} SELECT * FROM calls)
   UNION ALL SELECT 'gyrodb', * FROM (WITH {_classify('gyrodb', 'prefix', _GY)} SELECT * FROM calls))""")}
 SELECT id, oh AS "order", sh AS superfamily, ch AS clade, complete, strand, domains, database AS primary_db, round(score, 6) AS score FROM prim""",
+    "reconcile_classified_all": f"""WITH {_reconcile(f"""rows AS (SELECT 'axdb' AS database, * FROM (WITH {_AX_CALLS} SELECT * FROM calls)
+  UNION ALL SELECT 'gyrodb', * FROM (WITH {_classify('gyrodb', 'prefix', _GY)} SELECT * FROM calls)
+  UNION ALL SELECT 'sinefold', * FROM (WITH {_classify('sinefold', 'constant', {})} SELECT * FROM calls))""")}, nc AS (SELECT id, count(*) AS n FROM rows GROUP BY 1)
+SELECT prim.id, oh AS "order", sh AS superfamily, ch AS clade, complete, strand, domains, database AS primary_db, round(score, 6) AS score, nc.n::INTEGER AS n_calls FROM prim JOIN nc ON nc.id = prim.id""",
     "secondary_strings": f"""WITH {REC}
 SELECT id, string_agg(printf('%s:%s/%s/%s=%.3f', database, "order", superfamily, clade, score), ';' ORDER BY score DESC, database) AS secondary_hits FROM rows GROUP BY id""",
     "so_lookup": f"""

@@ -31,3 +31,11 @@ def test_annotation_takes_the_prefix_database(spark):
     names = {model for model, _ in want}
     found = [r for r in lines if r["gid"].split("|")[-1] in names]
     assert found and all("\tCDS\t" in r["line"] for r in found)
+
+
+def test_reconciling_takes_the_constant_database(spark):
+    d = f"{DATA}/sf0.001"
+    sines = {r["id"] for r in queries()["classify_constant"](spark, d).collect()}
+    got = {r["id"]: r["n_calls"] for r in queries()["reconcile_classified_all"](spark, d).collect()}
+    called = {r["id"] for name in ("classify_score_vote", "classify_prefix") for r in queries()[name](spark, d).collect()}
+    assert sines and set(got) == sines | called and max(got.values()) == 3
