@@ -19,7 +19,7 @@ PIECE_LIMIT, PIECE_OVERLAP = 100_000, 1_000
 GAP_TYPES = ("gap", "assembly_gap", "N_region")
 #: Coordinates at the end of a name, 1-based with both ends, as different tools write them.
 COORDINATES = r"[:_\[]c?([0-9][0-9,]*)(?:-|\.\.|:)([0-9][0-9,]*)\]?(?:\([+-]\))?$"
-#: Problem 9: word-list entries taken; fixed values: labels of cases and of others.
+#: Problem 9: most word-list entries taken, a longer list is refused; fixed values: labels of cases and of others.
 MAX_TERMS = 10_000
 CASES, OTHERS = ("abusive", "hateful", "sexual"), ("ok",)
 #: Problem 8: tokens of a container.
@@ -135,7 +135,9 @@ def abuse_model(spark: SparkSession, sf_dir: str) -> abuse.Model:
     rows = docs.join(judged.groupBy("doc_id").agg(votes.alias("votes")), "doc_id").orderBy(F.xxhash64("text"), "doc_id").limit(abuse.MAX_LABELLED).collect()
     rows.sort(key=lambda r: r.doc_id)
     labels = [(r.doc_id, v.labeller, v.case) for r in rows for v in r.votes]
-    words = table(spark, sf_dir, "abuse_terms").where(F.col("term").isNotNull()).orderBy("term", "lang", "kind").limit(MAX_TERMS).collect()
+    words = table(spark, sf_dir, "abuse_terms").where(F.col("term").isNotNull()).orderBy("term", "lang", "kind").limit(MAX_TERMS + 1).collect()
+    if len(words) > MAX_TERMS:
+        raise ValueError("the word list is too long for the driver")
     return abuse.fit({r.doc_id: r.text for r in rows}, labels, [(w.term, w.kind, w.strength) for w in words])
 
 
