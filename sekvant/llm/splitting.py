@@ -95,11 +95,12 @@ def split_oversized(items: DataFrame, gaps: DataFrame, *, limit: int, overlap: i
     big = items.select("name", F.col("size").cast("bigint").alias("size")).where(F.col("name").isNotNull() & (F.col("size") > limit))
     known = gaps.join(big.select("name").distinct(), "name", "left_semi")
     spans = merged(known, "name", "gap_from", "gap_to", name="name").join(big, "name").select("name", "size", F.greatest("pos_from", F.lit(1)).alias("a"), F.least("pos_to", "size").alias("b")).where("a <= b")
-    # A gap longer than a piece offers a cut for every piece that may end in it, and its end.
+    # A gap offers its middle and both ends, so no forced cut falls where an end inside a gap is in reach;
+    # one longer than a piece offers a cut for every piece that may end in it, and its end.
     middle = F.greatest(F.floor((F.col("a") + F.col("b")) / 2).cast("bigint"), F.least("b", F.lit(max(overlap, 1)).cast("bigint")))
     many = F.array_union(F.sequence("a", "b", F.lit(step)), F.array("b"))
     cuts = (
-        spans.select("name", "size", F.explode(F.when(F.col("b") - F.col("a") > step, many).otherwise(F.array(middle))).alias("pos"), (F.col("b") - F.col("a") + 1).alias("strength"))
+        spans.select("name", "size", F.explode(F.when(F.col("b") - F.col("a") > step, many).otherwise(F.array_distinct(F.array("a", middle, "b")))).alias("pos"), (F.col("b") - F.col("a") + 1).alias("strength"))
         .where((F.col("pos") >= max(overlap, 1)) & (F.col("pos") < F.col("size")))
         .withColumn("w", F.floor((F.col("pos") - 1) / block).cast("bigint"))
     )
