@@ -8,16 +8,16 @@ and a new one opened; a container without free space closes at once. An item
 above the capacity is cut into full containers and one rest, and only the rest
 meets other items.
 
-Items are spread evenly over packers by a hash of identifier, size and place, so that
-repeated identifiers are spread too, and each packer streams its items in the order
-of their identifiers; memory stays that of the open bins. A packer has about
-``items_per_packer`` items; the containers left open at its end are all that the
-split costs. With one packer a repeated run gives the same containers; with more the
-spread follows the order in which rows were staged.
+Items equal in identifier and size are counted, and each copy gets a number from 1,
+handed out in chunks so that no one task holds all copies of a frequent item. A hash
+of identifier, size and number spreads the items evenly over packers; a packer
+streams its items in their order and holds only the open bins. So the same items
+give the same containers on every run and in any input order. A packer has about
+``items_per_packer`` items, of which the last bins left open are all that the split costs.
 
 Defined cases: null and negative sizes count as 0; an item of size 0 takes a place
 in the best container and no space; null identifiers and repeated rows are items
-of their own; ties in free space go to the container opened first; an empty table
+of their own, whose containers may be exchanged among equals; ties in free space go to the container opened first; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -32,13 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sekvant.staging import staged
-
 OPEN_BINS = 64
-ITEMS_PER_PACKER = 100_000
+ITEMS_PER_PACKER = 20_000
 #: Containers of one packer are numbered from its own number times this.
 PACKER_STRIDE = 1 << 40
 _BATCH = 50_000
+_COPIES = 65_536
 
 
 class Packer:
@@ -90,12 +89,19 @@ class Packer:
         yield start, size - start, *self.place(size - start)
 
 
+def _copies(items: DataFrame, chunk: int) -> DataFrame:
+    """``(row_id, size, copy)``: equal items numbered from 1, without a sort and without a large group in one task."""
+    counted = items.groupBy("row_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    chunks = counted.select("row_id", "size", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / chunk))).alias("c"))
+    return chunks.select("row_id", "size", F.explode(F.sequence(F.col("c") * chunk + 1, F.least((F.col("c") + 1) * chunk, F.col("n")))).alias("copy"))
+
+
 def pack(df: DataFrame, row_id: Column, size: Column, capacity: int, *, open_bins: int = OPEN_BINS, items_per_packer: int = ITEMS_PER_PACKER) -> DataFrame:
     """``(row_id, piece, piece_from, piece_size, container, place, offset)``; piece counts from 0."""
-    items = staged(df.select(row_id.alias("row_id"), F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0)).alias("size")), "pack-items")
-    packers = max(1, -(-items.count() // items_per_packer))
-    # A running number spreads repeated identifiers too; it only decides the packer.
-    spread = items.repartition(packers, F.xxhash64("row_id", "size", F.monotonically_increasing_id() if packers > 1 else F.lit(0))).sortWithinPartitions("row_id", "size")
+    items = df.select(row_id.alias("row_id"), F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
+    # The sizes are not worked out for this count, only rows are counted.
+    packers = max(1, -(-df.count() // items_per_packer))
+    spread = _copies(items, _COPIES).repartition(packers, F.xxhash64("row_id", "size", "copy")).sortWithinPartitions("row_id", "size", "copy")
     kind = items.schema["row_id"].dataType
     longs = ("piece", "piece_from", "piece_size", "container", "place", "offset")
     out = T.StructType([T.StructField("row_id", kind), *(T.StructField(c, T.LongType()) for c in longs)])

@@ -7,10 +7,14 @@ Cuts divide the item into atomic segments. Agglomerative merging holds all pairs
 of neighbours in a heap and merges across the weakest boundary first, while the
 merged segment and the overlap it shares with the one before stay within the limit.
 
-An item's axis is worked in blocks of about ``block_pieces`` limits, which begin at
-a cut, so one item of any size is shared out and a task's memory is bounded by the
-positions of a block, not by the number of gap rows: those are first merged per
-item by the interval sweep.
+An item's axis is worked in parts that cannot touch each other. A boundary whose two
+atomic segments together with the overlap exceed the limit can never be merged over,
+as segments only grow; so it stays for certain, and what lies left and right of it may
+be merged apart with the same result. Cuts are gathered by blocks of about
+``block_pieces`` limits; an item is parted at the first certain boundary of each block,
+blocks without one stay with the part before. The result does not depend on the block
+size, and one item of any size is shared out. A task's memory is bounded by the positions of
+a part, not by the number of gap rows: those are first merged per item by the interval sweep.
 
 Defined cases: null, zero and negative sizes and null names make no item; sizes
 up to the limit are not cut; gaps beyond the item are clipped, gaps with a null end
@@ -71,15 +75,44 @@ def agglomerate(start: int, segments: list[tuple[int, int]], limit: int, overlap
     return [end[i] for i in range(n) if live[i]]
 
 
+_ATOMS = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("strength", T.LongType())]))
+
+
+def certain(start: int, segments: list[tuple[int, int]], after: int | None, limit: int, overlap: int) -> int:
+    """Index of the first segment of ``(start, ...]`` whose end is a boundary for certain, or -1; ``after`` is the next segment's end."""
+    begin = [start, *(e for e, _ in segments)]
+    for i, (beyond, _) in enumerate([*segments[1:], (after, 0)]):
+        if beyond is not None and beyond - begin[i] + (overlap if begin[i] else 0) > limit:
+            return i
+    return -1
+
+
+def _parted(limit: int, overlap: int):
+    """A block's atomic segments up to its first certain boundary, and those behind it."""
+
+    @F.pandas_udf(T.StructType([T.StructField("head", _ATOMS), T.StructField("tail", _ATOMS)]))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for start, end, after, cuts in batches:
+            heads, tails = [], []
+            for s, e, n, c in zip(start, end, after, cuts):
+                marks = [] if c is None else [(x["pos"], x["strength"]) for x in c if x["pos"] < e]
+                last = 0 if c is None else next((x["strength"] for x in c if x["pos"] == e), 0)
+                segments = [*atoms(s, e, marks, limit, overlap)]
+                segments[-1] = (segments[-1][0], last)
+                beyond = None if pd.isna(n) else min(int(n), e + limit - overlap)
+                i = certain(s, segments, beyond, limit, overlap) + 1
+                heads.append([{"pos": p, "strength": w} for p, w in segments[:i]])
+                tails.append([{"pos": p, "strength": w} for p, w in segments[i:]])
+            yield pd.DataFrame({"head": heads, "tail": tails})
+
+    return run
+
+
 def _ends(limit: int, overlap: int):
     @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for start, end, cuts in batches:
-            out = []
-            for s, e, c in zip(start, end, cuts):
-                marks = [] if c is None else [(x["pos"], x["strength"]) for x in c if s < x["pos"] < e]
-                out.append(agglomerate(s, atoms(s, e, marks, limit, overlap), limit, overlap))
-            yield pd.Series(out, dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for start, segments in batches:
+            yield pd.Series([agglomerate(s, [(x["pos"], x["strength"]) for x in a], limit, overlap) for s, a in zip(start, segments)], dtype=object)
 
     return run
 
@@ -104,11 +137,23 @@ def split_oversized(items: DataFrame, gaps: DataFrame, *, limit: int, overlap: i
         .where((F.col("pos") >= max(overlap, 1)) & (F.col("pos") < F.col("size")))
         .withColumn("w", F.floor((F.col("pos") - 1) / block).cast("bigint"))
     )
-    per_block = cuts.groupBy("name", "w").agg(F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", "strength"))).alias("cuts"))
+    per_block = cuts.groupBy("name", "w").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sort_array(F.collect_list(F.struct("pos", "strength"))).alias("cuts"))
+    # An item has few blocks, whose rows alone are numbered here.
     by_name = Window.partitionBy("name").orderBy("w")
-    blocks = per_block.select("name", "cuts", F.when(F.row_number().over(by_name) == 1, 0).otherwise(F.col("first")).alias("start"), F.lead("first").over(by_name).alias("stop"))
-    ranged = big.join(blocks, "name", "left").select("name", F.coalesce("start", F.lit(0)).cast("bigint").alias("start"), F.coalesce("stop", "size").alias("stop"), "cuts")
-    ends = ranged.select("name", "start", F.posexplode(_ends(limit, overlap)("start", "stop", "cuts")).alias("i", "pos_to"))
-    order = Window.partitionBy("name").orderBy("pos_to")
-    before = F.lag("pos_to").over(order)
-    return ends.select("name", F.row_number().over(order).alias("piece"), F.coalesce(before - overlap + 1, F.lit(1)).alias("pos_from"), "pos_to")
+    blocks = big.join(per_block, "name", "left").withColumns({"w": F.coalesce("w", F.lit(0)), "start": F.coalesce(F.lag("last").over(by_name), F.lit(0)), "after": F.lead("first").over(by_name)})
+    final = F.col("after").isNull()
+    ranged = blocks.select("name", "w", "size", "cuts", F.col("start").cast("bigint").alias("start"), F.when(final, F.col("size")).otherwise(F.col("last")).alias("stop"), F.when(final, None).otherwise(F.col("after")).alias("after"))
+    parted = ranged.select("name", "w", _parted(limit, overlap)("start", "stop", "after", "cuts").alias("x"))
+    at = F.when(F.size("x.head") > 0, F.element_at("x.head", -1)["pos"])
+    parted = parted.select("name", "w", F.col("x.head").alias("head"), F.col("x.tail").alias("tail"), at.alias("at"))
+    upto = F.last("at", ignorenulls=True)
+    runs = parted.withColumns({"own": F.coalesce(upto.over(by_name), F.lit(0)), "before": F.coalesce(upto.over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    # The head closes the run that an earlier block began, the tail begins or goes on with the block's own.
+    each = runs.select("name", F.explode(F.array(F.struct(F.col("before").alias("start"), F.col("w"), F.lit(0).alias("o"), F.col("head").alias("a")), F.struct(F.col("own").alias("start"), F.col("w"), F.lit(1).alias("o"), F.col("tail").alias("a")))).alias("r"))
+    whole = each.where(F.size("r.a") > 0).groupBy("name", F.col("r.start").alias("start")).agg(F.sort_array(F.collect_list(F.struct("r.w", "r.o", "r.a"))).alias("p"))
+    ends = whole.select("name", "start", _ends(limit, overlap)("start", F.flatten(F.transform("p", lambda x: x["a"]))).alias("ends"))
+    earlier = Window.partitionBy("name").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ends.withColumn("n", F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)))
+    each = numbered.select("name", "start", "n", "ends", F.posexplode("ends").alias("i", "pos_to"))
+    previous = F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(F.col("start"))
+    return each.select("name", (F.col("n") + F.col("i") + 1).cast("int").alias("piece"), F.when(previous > 0, previous - overlap + 1).otherwise(1).cast("bigint").alias("pos_from"), "pos_to")

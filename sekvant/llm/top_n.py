@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sekvant.staging import release, staged
+from sekvant.staging import measured, release, row_bytes, staged
 
 BITS = 6
 BROADCAST_BYTES = 32 << 20
@@ -51,15 +51,14 @@ def code_score(code: Column) -> Column:
     return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
 
 
-def _meet(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, broadcast_bytes: int, how: str = "inner") -> DataFrame:
-    """Join of rows and their group's state; ``groups`` is staged and has ``n``, its number of rows."""
-    size = groups.agg(F.sum(sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(96)))).first()[0] or 0
+def _meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: int, total: int, broadcast_bytes: int, how: str = "inner") -> DataFrame:
+    """Join of rows and their group's state; ``groups`` is staged, takes ``size`` bytes and has ``n``, its number of rows."""
     if size <= broadcast_bytes:
         return rows.join(F.broadcast(groups), keys, how)
     hot = groups.where(F.col("n") * HOT_SHARE > total)
     cold = groups.where(F.col("n") * HOT_SHARE <= total)
     few = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(few.join(cold, keys, how))
+    return rows.join(F.broadcast(hot), keys).unionByName(few.join(cold.hint("shuffle_merge"), keys, how))
 
 
 def _sections(active: DataFrame, keys: list[str], bits: int) -> DataFrame:
@@ -107,8 +106,8 @@ def top_n(df: DataFrame, groups: list[Column], score: Column, row_id: Column, n:
     rows = df.select(*(g.alias(k) for g, k in zip(groups, keys)), score.alias("s"), row_id.cast("bigint").alias("i"))
     rows = rows.where(reduce(Column.__and__, (F.col(k).isNotNull() for k in [*keys, "s", "i"])) & ~F.isnan("s"))
     rows = rows.select(*keys, score_code(F.col("s")).alias("hi"), F.bitwise_not("i").alias("lo"))
-    rows = staged(rows if unique_ids else rows.distinct(), "top-n-rows")
-    total = rows.count()
+    rows, seen = measured(rows if unique_ids else rows.distinct(), "top-n-rows", total=F.count(F.lit(1)))
+    total = seen["total"]
 
     ends = [f(c).alias(f"{c}_{x}") for c in ("hi", "lo") for f, x in ((F.min, "low"), (F.max, "high"))]
     start = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends).where(F.col("n") > n)
@@ -123,27 +122,29 @@ def top_n(df: DataFrame, groups: list[Column], score: Column, row_id: Column, n:
         F.when(tied, F.col("lo_high")).otherwise(F.col("hi_high")).alias("high"),
         F.lit(n).cast("bigint").alias("need"),
     )
-    state = staged(_with_shift(state, bits), "top-n-state")
-    active, cutoffs, spent = rows, [], []
-    while True:
+    # What the next pass has to know of the state is taken while it is written.
+    known = {"open": F.count_if(~F.col("done")), "size": row_bytes(*keys), "left": F.coalesce(F.sum(F.when(~F.col("done"), F.octet_length(F.concat(*(F.col(k).cast("string") for k in keys))) + 96)), F.lit(0))}
+    state, seen = measured(_with_shift(state, bits), "top-n-state", **known)
+    active, cutoffs, states, width = rows, [], [state], seen["size"]
+    while seen["open"]:
         cutoffs.append(state.where("done"))
-        open_groups = state.where(~F.col("done"))
-        if open_groups.isEmpty():
-            break
-        held = _meet(active.select(*keys, "hi", "lo"), open_groups, keys, total, broadcast_bytes).where(_in_bracket())
-        if active is not rows:
-            spent.append(active)
+        held = _meet(active.select(*keys, "hi", "lo"), state.where(~F.col("done")), keys, seen["left"], total, broadcast_bytes).where(_in_bracket())
+        spent = active
         if len(cutoffs) > 1:
             active = held = staged(held, "top-n-active")
-        state = staged(_sections(held, keys, bits), "top-n-state")
-        for x in spent:
-            release(x)
-        spent.clear()
+        state, seen = measured(_sections(held, keys, bits), "top-n-state", **known)
+        states.append(state)
+        width += seen["size"]
+        if spent is not active and spent is not rows:
+            release(spent)
+    cutoffs.append(state)
     if active is not rows:
         release(active)
 
     found = reduce(DataFrame.unionByName, cutoffs).select(*keys, "n", F.when(F.col("half") == 0, F.col("low")).otherwise(F.col("cut_hi")).alias("c_hi"), F.when(F.col("half") == 0, F.lit(_LEAST)).otherwise(F.col("low")).alias("c_lo"))
     found = staged(found, "top-n-cutoffs")
+    for x in states:
+        release(x)
     code_reached = (F.col("hi") > F.col("c_hi")) | ((F.col("hi") == F.col("c_hi")) & (F.col("lo") >= F.col("c_lo")))
-    chosen = _meet(rows, found, keys, total, broadcast_bytes, "left").where(F.col("c_hi").isNull() | code_reached)
+    chosen = _meet(rows, found, keys, width, total, broadcast_bytes, "left").where(F.col("c_hi").isNull() | code_reached)
     return chosen.select(*keys, code_score(F.col("hi")).alias("score"), F.bitwise_not("lo").alias("row_id"))
