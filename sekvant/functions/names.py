@@ -19,6 +19,13 @@ def frame_suffix(target: Column) -> dict[str, Column]:
     }
 
 
+def frame_number(target: Column) -> dict[str, Column]:
+    """As ``frame_suffix``, with numbers: a name without a frame has frame 0; ``direction`` is 1, -1 or 0."""
+    parts = frame_suffix(target)
+    direction = F.when(parts["strand"] == "+", 1).when(parts["strand"] == "-", -1).otherwise(0)
+    return {"base": parts["base"], "strand": parts["strand"], "direction": direction, "frame": F.coalesce(parts["frame"].try_cast("int"), F.lit(0))}
+
+
 def base_name(target: Column) -> Column:
     """The name before its last bar, whatever follows."""
     return F.when(F.instr(target, "|") > 0, F.regexp_extract(target, r"^([\s\S]*)\|", 1)).otherwise(target)

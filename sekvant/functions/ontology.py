@@ -69,8 +69,8 @@ def lookup(labels: DataFrame, aliases: DataFrame, order: str = "order", superfam
     """
     found = labels.select(order, superfamily).distinct()
     tried = found.select(order, superfamily, F.posexplode(candidates(F.col(order), F.col(superfamily))).alias("rung", "alias"))
-    best = tried.join(F.broadcast(aliases), "alias").groupBy(order, superfamily).agg(F.min(F.struct("rung", "so_name", "so_id")).alias("so_best_"))
+    best = tried.join(aliases, "alias").groupBy(order, superfamily).agg(F.min(F.struct("rung", "so_name", "so_id")).alias("so_best_"))
     same = [labels[c].eqNullSafe(best[c]) for c in (order, superfamily)]
-    joined = labels.join(F.broadcast(best), same[0] & same[1], "left").select(labels["*"], F.coalesce("so_best_.so_name", F.lit(FALLBACK[0])).alias("so_name"), F.coalesce("so_best_.so_id", F.lit(FALLBACK[1])).alias("so_id"))
+    joined = labels.join(best, same[0] & same[1], "left").select(labels["*"], F.coalesce("so_best_.so_name", F.lit(FALLBACK[0])).alias("so_name"), F.coalesce("so_best_.so_id", F.lit(FALLBACK[1])).alias("so_id"))
     canonical = F.create_map(*(F.lit(x) for kv in CANONICAL.items() for x in kv))
     return joined.withColumn("gff_type", F.coalesce(F.try_element_at(canonical, F.col("so_id")), F.col("so_name")))

@@ -30,6 +30,31 @@ class Database:
     constant: tuple[str, str] = ("SINE", "SINE")
 
 
+#: Genes in order of complete elements, other names of genes, superfamilies whose clades are told.
+LAYOUTS = {
+    "path": Database(
+        "path",
+        "path",
+        structures={("LTR", "Copia"): ["GAG", "PROT", "INT", "RT", "RH"], ("LTR", "Gypsy"): ["GAG", "PROT", "RT", "RH", "INT"], ("LTR", "Bel-Pao"): ["GAG", "PROT", "RT", "RH", "INT"]},
+        remap={"aRH": "RH", "TPase": "INT"},
+        clade_only_for=("Copia", "Gypsy"),
+    ),
+    "prefix": Database(
+        "prefix",
+        "prefix",
+        structures={
+            ("LTR", "Copia"): ["GAG", "AP", "INT", "RT", "RNaseH"],
+            ("LTR", "Gypsy"): ["GAG", "AP", "RT", "RNaseH", "INT"],
+            ("LTR", "Pao"): ["GAG", "AP", "RT", "RNaseH", "INT"],
+            ("LTR", "Retroviridae"): ["GAG", "AP", "RT", "RNaseH", "INT", "ENV"],
+            ("LTR", "Caulimoviridae"): ["GAG", "AP", "RT", "RNaseH"],
+        },
+    ),
+    "plain": Database("plain", "path"),
+    "constant": Database("constant", "constant"),
+}
+
+
 def _labelled(domains: DataFrame, db: Database, clade_map: DataFrame | None) -> DataFrame:
     """Adds ``o, s, c, g``: order, superfamily, clade and displayed gene of each domain's model."""
     model = F.col("query_name")
@@ -40,7 +65,7 @@ def _labelled(domains: DataFrame, db: Database, clade_map: DataFrame | None) ->
         p = names.prefix_labels(model)
         rows = domains.withColumns({"c": p["clade"], "g": p["gene"]})
         known = clade_map.select(F.col("clade").alias("c"), F.col("order").alias("o"), F.col("superfamily").alias("s"))
-        rows = rows.join(F.broadcast(known), "c", "left")
+        rows = rows.join(known, "c", "left")
     else:
         rows = domains.withColumns({"o": F.lit(db.constant[0]), "s": F.lit(UNKNOWN), "c": F.lit(db.constant[1]), "g": F.lit(db.constant[1])})
     shown = F.col("g")
@@ -111,18 +136,26 @@ def _complete(db: Database) -> Column:
 
 def harmonized(calls: DataFrame, harmonization: DataFrame) -> DataFrame:
     """Adds ``order_h, superfamily_h, clade_h, lineage_h``; a pair that is not listed stays as it is."""
-    table = F.broadcast(harmonization.dropDuplicates(["db", "order_native", "superfamily_native", "clade_native"]))
+    table = harmonization.dropDuplicates(["db", "order_native", "superfamily_native", "clade_native"])
     same = (F.col("db") == F.col("database")) & (F.col("order_native") == F.col("order")) & (F.col("superfamily_native") == F.col("superfamily")) & (F.col("clade_native") == F.col("clade"))
     joined = calls.join(table, same, "left")
     return joined.select(calls["*"], *(F.coalesce(f"{x}_h", x).alias(f"{x}_h") for x in ("order", "superfamily", "clade")), F.coalesce("lineage_h", F.lit("")).alias("lineage_h"))
 
 
-def _won(pool: DataFrame, level: str) -> DataFrame:
-    """Adds ``top``: the label of the level with the largest summed score in the element, first database on a tie."""
-    total = F.round(F.sum("score").over(Window.partitionBy("id", level)), 9)
-    first = F.min("database").over(Window.partitionBy("id", level))
-    ranked = pool.withColumns({"t_": total, "f_": first})
-    return ranked.withColumn("top", F.min(F.struct(-F.col("t_"), F.col("f_"), F.col(level))).over(Window.partitionBy("id"))[level]).drop("t_", "f_")
+def _labels_won(pool: Column, level: str) -> Column:
+    """The label of the level with the largest summed score among calls, first database on a tie; null for no calls."""
+
+    def rank(x: Column) -> Column:
+        same = F.filter(pool, lambda y: y[level].eqNullSafe(x[level]))
+        total = F.round(F.aggregate(same, F.lit(0.0), lambda a, y: a + y["score"]), 9)
+        return F.struct((-total).alias("t"), F.array_min(F.transform(same, lambda y: y["database"])).alias("f"), x[level].alias("label"))
+
+    return F.array_min(F.transform(pool, rank))["label"]
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once per row: unlike a projection, a generator is not put into the expressions that use it."""
+    return rows.select(*(c for c in rows.columns if c != name), F.explode(F.array(value)).alias(name))
 
 
 def reconcile(calls: DataFrame, harmonization: DataFrame, scope: DataFrame) -> DataFrame:
@@ -134,31 +167,41 @@ def reconcile(calls: DataFrame, harmonization: DataFrame, scope: DataFrame) -> D
     vote if that database can also resolve a competing one and no other claim
     qualifies. The primary call is the highest of those left; the lineage is voted
     among those that have one; ``secondary`` keeps all calls under native names.
+
+    An element's calls, at most one per database, are gathered once and voted on as an
+    array, so the whole takes one shuffle and no sort.
     """
-    element = Window.partitionBy("id")
-    several = F.min("database").over(element) != F.max("database").over(element)
-    rows = harmonized(calls, harmonization).withColumn("several", several)
-    for level in ("order", "superfamily", "clade"):
-        rows = rows.withColumn(f"{level}_h", F.when(F.col("several"), F.col(f"{level}_h")).otherwise(F.col(level)))
-    rows = rows.withColumn("lineage_h", F.when(F.col("several"), F.col("lineage_h")).otherwise(F.lit("")))
-    rows = rows.withColumn("secondary", F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "database", "order", "superfamily", "clade")).over(element)))
-    pool = _won(rows, "order_h").where(F.col("order_h").eqNullSafe(F.col("top")))
-    # Which superfamilies of the pool each database resolves.
-    can = scope.where("resolving").groupBy("db").agg(F.collect_set("superfamily_h").alias("can"))
-    pool = _won(pool, "superfamily_h").join(F.broadcast(can), F.col("db") == F.col("database"), "left").withColumn("can", F.coalesce("can", F.array().cast("array<string>"))).drop("db")
-    claims = F.collect_set(F.struct("database", "superfamily_h", "can")).over(element)
-    pool = pool.withColumn("claims", claims)
-    contested = F.exists("claims", lambda x: (x["database"] != F.col("database")) & F.array_contains(x["can"], F.col("superfamily_h")))
-    competent = F.exists("claims", lambda x: (x["superfamily_h"] != F.col("superfamily_h")) & F.array_contains(F.col("can"), x["superfamily_h"]))
-    pool = pool.withColumn("qualified", F.collect_set(F.when(F.col("several") & ~contested & competent, F.col("superfamily_h"))).over(element))
-    pool = pool.withColumn("top", F.when(F.size("qualified") == 1, F.get("qualified", F.lit(0))).otherwise(F.col("top"))).where("superfamily_h = top")
-    pool = _won(pool, "clade_h").where("clade_h = top")
-    resolved = F.when(F.col("lineage_h") != "", F.col("lineage_h"))
-    line_total = F.round(F.sum("score").over(Window.partitionBy("id", "lineage_h")), 9)
-    pool = pool.withColumn("lineage", F.min(F.when(resolved.isNotNull(), F.struct(-line_total, F.col("database"), F.col("lineage_h").alias("l")))).over(element)["l"])
-    primary = pool.groupBy("id").agg(F.min_by(F.struct(*pool.columns), F.struct(-F.col("score"), F.col("database"))).alias("p"))
-    kept = [c for c in calls.columns if c not in ("id", "database", "order", "superfamily", "clade")]
-    return primary.select("id", *(F.col(f"p.{x}_h").alias(x) for x in ("order", "superfamily", "clade")), *(F.col(f"p.{c}") for c in kept), F.coalesce("p.lineage", F.lit("")).alias("lineage"), F.col("p.database").alias("primary_db"), F.transform("p.secondary", lambda x: F.struct(x["database"].alias("db"), x["order"].alias("order"), x["superfamily"].alias("superfamily"), x["clade"].alias("clade"), (-x["neg"]).alias("score"))).alias("secondary"))
+    kept = [c for c in calls.columns if c not in ("id", "database", "order", "superfamily", "clade", "score")]
+    # Which superfamilies each database resolves.
+    can = scope.where("resolving").groupBy(F.col("db").alias("database")).agg(F.collect_set("superfamily_h").alias("can"))
+    rows = harmonized(calls, harmonization).join(can, "database", "left").withColumn("can", F.coalesce("can", F.array().cast("array<string>")))
+    labels = [f"{x}{s}" for x in ("order", "superfamily", "clade") for s in ("", "_h")]
+    each = F.struct("database", F.col("score").cast("double").alias("score"), *labels, "lineage_h", "can", F.struct(F.lit(0).alias("_"), *kept).alias("kept"))
+    groups = rows.groupBy("id").agg(F.sort_array(F.collect_list(each)).alias("calls"))
+
+    several = F.array_min(F.transform("calls", lambda x: x["database"])) != F.array_max(F.transform("calls", lambda x: x["database"]))
+    speak = lambda x, level: F.when(F.col("several"), x[f"{level}_h"]).otherwise(x[level]).alias(level)
+    line = lambda x: F.when(F.col("several"), x["lineage_h"]).otherwise("").alias("lineage")
+    spoken = lambda x: F.struct(x["database"].alias("database"), x["score"].alias("score"), *(speak(x, v) for v in ("order", "superfamily", "clade")), line(x), x["can"].alias("can"), x["kept"].alias("kept"))
+    left = _once(groups.withColumn("several", several), "pool", F.transform("calls", spoken))
+    left = _once(left, "top", _labels_won(F.col("pool"), "order"))
+    left = _once(left, "pool", F.filter("pool", lambda x: x["order"].eqNullSafe(F.col("top"))))
+
+    contested = lambda x: F.exists("pool", lambda y: (y["database"] != x["database"]) & F.array_contains(y["can"], x["superfamily"]))
+    competent = lambda x: F.exists("pool", lambda y: (y["superfamily"] != x["superfamily"]) & F.array_contains(x["can"], y["superfamily"]))
+    qualified = F.array_distinct(F.transform(F.filter("pool", lambda x: F.col("several") & ~F.coalesce(contested(x), F.lit(False)) & F.coalesce(competent(x), F.lit(False))), lambda x: x["superfamily"]))
+    left = _once(left, "qualified", qualified)
+    left = _once(left, "top", F.when(F.size("qualified") == 1, F.get("qualified", F.lit(0))).otherwise(_labels_won(F.col("pool"), "superfamily")))
+    left = _once(left, "pool", F.filter("pool", lambda x: x["superfamily"] == F.col("top")))
+    left = _once(left, "top", _labels_won(F.col("pool"), "clade"))
+    left = _once(left, "pool", F.filter("pool", lambda x: x["clade"] == F.col("top")))
+    lineage = F.coalesce(_labels_won(F.filter("pool", lambda x: x["lineage"] != ""), "lineage"), F.lit(""))
+    first = F.array_sort("pool", lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["database"] < y["database"], -1).when(x["database"] > y["database"], 1).otherwise(0))
+    # All calls under native names, by falling score.
+    native = F.sort_array(F.transform("calls", lambda x: F.struct((-x["score"]).alias("neg"), x["database"].alias("database"), x["order"].alias("order"), x["superfamily"].alias("superfamily"), x["clade"].alias("clade"))))
+    secondary = F.transform(native, lambda x: F.struct(x["database"].alias("db"), x["order"].alias("order"), x["superfamily"].alias("superfamily"), x["clade"].alias("clade"), (-x["neg"]).alias("score")))
+    out = left.where(F.size("pool") > 0).select("id", F.get(first, F.lit(0)).alias("p"), lineage.alias("lineage"), secondary.alias("secondary"))
+    return out.select("id", *(F.col(f"p.{x}").alias(x) for x in ("order", "superfamily", "clade")), *(F.col("p.score") if c == "score" else F.col(f"p.kept.{c}") for c in calls.columns if c in kept or c == "score"), "lineage", F.col("p.database").alias("primary_db"), "secondary")
 
 
 def inherit_from_similar(blast: DataFrame, classified: DataFrame, calls: DataFrame, *, database: str | None = None) -> DataFrame:

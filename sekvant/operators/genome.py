@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ def _labels(db: Database, clade_map: DataFrame | None, rows: DataFrame) -> DataF
         return rows.withColumns({"order": p["order"], "superfamily": p["superfamily"], "clade": p["clade"], "gene": p["gene"], "clade_shown": shown})
     if db.style == "prefix":
         p = names.prefix_labels(model)
-        known = F.broadcast(clade_map.select("clade", "order", "superfamily"))
+        known = clade_map.select("clade", "order", "superfamily")
         joined = rows.withColumns({"clade": p["clade"], "gene": p["gene"]}).join(known, "clade", "left")
         return joined.withColumns({"order": F.coalesce("order", F.lit("Unknown")), "superfamily": F.coalesce("superfamily", F.lit(UNKNOWN)), "clade_shown": F.col("clade")})
     return rows.withColumns({"order": F.lit(db.constant[0]), "superfamily": F.lit(UNKNOWN), "clade": F.lit(db.constant[1]), "gene": F.lit(db.constant[1]), "clade_shown": F.lit(UNKNOWN)})
@@ -67,17 +66,10 @@ def features(hits: DataFrame, db: Database, engine: str, *, lengths: DataFrame |
 
 def attribute_text() -> Column:
     """The ninth GFF3 column of a feature."""
-    parts = (("ID", F.col("gid")), ("Name", F.concat("clade", F.lit("-"), "gene")), ("Classification", F.col("classification")), ("gene", F.col("gene")), ("clade", F.col("clade")), ("coverage", F.format_string("%.1f", "coverage")), ("evalue", short_number(F.col("evalue"))), ("score", F.format_string("%.3f", "score")), ("Ontology_term", F.col("so_id")), ("so_name", F.col("so_name")))
-    return F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v) for k, v in parts))
-
+    from sekvant.sources.writers import number_text
 
-def short_number(x: Column) -> Column:
-    """Six significant digits without trailing zeros, in the shorter of plain and exponent form."""
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map("{:g}".format, na_action="ignore")
-
-    return run(x)
+    parts = (("ID", F.col("gid")), ("Name", F.concat("clade", F.lit("-"), "gene")), ("Classification", F.col("classification")), ("gene", F.col("gene")), ("clade", F.col("clade")), ("coverage", number_text(F.col("coverage"), "{:.1f}")), ("evalue", number_text(F.col("evalue"), "{:g}")), ("score", number_text(F.col("score"), "{:.3f}")), ("Ontology_term", F.col("so_id")), ("so_name", F.col("so_name")))
+    return F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v) for k, v in parts))
 
 
 def gff_lines(resolved: DataFrame) -> DataFrame:

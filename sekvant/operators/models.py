@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Letters in the order of a profile's columns.
+ALPHABETS = {"amino": "ACDEFGHIKLMNPQRSTVWY", "dna": "ACGT"}
 PROTEIN_WINDOWS, NUCLEOTIDE_WINDOWS = (96, 64, 48, 32), (192, 128, 64)
 
 
@@ -34,34 +36,83 @@ def neighbours(edges: DataFrame, k: int | None = None) -> DataFrame:
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
-def traversal(edges: DataFrame, entry: str, *, breadth: int = 10, max_edges: int = 2_000_000) -> list[tuple[str, float]]:
-    """Models in best-first order from an entry, expanding each one's ``breadth`` best neighbours.
+def traversal(edges: DataFrame, entry: str, *, breadth: int = 10, most_edges: int = 2_000_000) -> Iterator[tuple[str, float]]:
+    """Models with the score that led to them, in best-first order, the entry first.
 
-    Model graphs have hundreds of nodes; a larger one than ``max_edges`` is refused.
+    The best-scoring open model is visited next, on equal scores the one found first;
+    its ``breadth`` best neighbours become open unless visited, so a later and better
+    edge to an open model counts. Neighbour lists of a graph up to ``most_edges`` are taken at
+    once; of a larger one those of all open models whenever one is missing.
     """
-    rows = neighbours(edges, breadth).select("query", "target", "score", "rank").limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        raise ValueError("the model graph is too large to walk on the driver")
-    near: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["query"], r["rank"])):
-        near.setdefault(r["query"], []).append((r["target"], r["score"]))
-    out, seen, heap, turn = [], {entry}, [(-float("inf"), 0, entry)], 0
+    ranked = neighbours(edges, breadth).select("query", "target", "score", "rank")
+    small = ranked.limit(most_edges + 1).count() <= most_edges
+    near: dict[str, list[tuple[str, float]]] = {}
+
+    def fetch(names: set[str] | None) -> None:
+        rows = ranked if names is None else ranked.where(F.col("query").isin(*names))
+        for r in sorted(rows.collect(), key=lambda r: (r["query"], r["rank"])):
+            near.setdefault(r["query"], []).append((r["target"], r["score"]))
+        for n in names or ():
+            near.setdefault(n, [])
+
+    if small:
+        fetch(None)
+    visited, heap, turn = set(), [(-float("inf"), 0, entry)], 0
     while heap:
         score, _, model = heapq.heappop(heap)
-        out.append((model, -score))
+        if model in visited:
+            continue
+        visited.add(model)
+        yield model, -score
+        if not small and model not in near:
+            fetch({model, *(m for _, _, m in heap if m not in near)})
         for target, s in near.get(model, []):
-            if target not in seen:
-                seen.add(target)
+            if target not in visited:
                 turn += 1
                 heapq.heappush(heap, (-s, turn, target))
-    return out[1:]
+
+
+def consensus_edges(models: DataFrame, *, block: int = 256, least: float = 0.0) -> DataFrame:
+    """``(query, target, score)``: every model against every model's consensus, scored without gaps; scores above ``least``.
+
+    ``models`` has ``(name, alphabet, consensus, match)``. Searching all against all is the
+    graph's meaning: consensuses, in blocks of ``block``, meet the models as a stated
+    query set, so a task holds one block and streams the models.
+    """
+    spots = models.where(F.col("consensus").isNotNull()).select(F.col("name").alias("target"), "consensus", F.pmod(F.xxhash64("name"), F.lit(2**31 - 1)).alias("h"))
+    n = spots.count()
+    blocks = spots.withColumn("b", F.pmod("h", F.lit(max(1, -(-n // block))))).groupBy("b").agg(F.collect_list(F.struct("target", "consensus")).alias("targets"))
+    asked = models.where(F.col("match").isNotNull()).select(F.col("name").alias("query"), "alphabet", "match", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // block)) - 1))).cast("bigint").alias("b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for query, alphabet, match, targets in zip(batch["query"], batch["alphabet"], batch["match"], batch["targets"]):
+                letters = ALPHABETS["amino" if alphabet == "amino" else "dna"]
+                p = np.array([np.asarray(x, dtype=float) for x in match])
+                odds = np.where(p > 0, np.log2(np.where(p > 0, p, 1.0) * p.shape[1]), -100.0)
+                rows += [(query, t["target"], s) for t in targets if (s := best_ungapped(odds, t["consensus"].upper(), letters)) > least]
+            yield pd.DataFrame(rows, columns=["query", "target", "score"])
+
+    return asked.join(blocks, "b").select("query", "alphabet", "match", "targets").mapInPandas(run, "query string, target string, score double")
+
+
+def best_ungapped(odds: np.ndarray, text: str, letters: str) -> float:
+    """Largest sum of a run on any diagonal of a score matrix, by position and letter, and a text."""
+    codes = np.array([letters.find(c) for c in text])
+    score = np.where(codes[None, :] >= 0, odds[:, np.maximum(codes, 0)], 0.0)
+    best, here = 0.0, np.zeros(len(codes) + 1)
+    for row in score:
+        here[1:] = np.maximum(here[:-1] + row, 0.0)
+        best = max(best, float(here.max()))
+    return best
 
 
 def graph_report(edges: DataFrame, families: DataFrame) -> DataFrame:
     """``(family, n_models, within, across)``: models and edges of every family."""
     a = families.select(F.col("parent").alias("query"), "family")
     b = families.select(F.col("parent").alias("target"), F.col("family").alias("other"))
-    linked = edges.join(F.broadcast(a), "query").join(F.broadcast(b), "target")
+    linked = edges.join(a, "query").join(b, "target")
     counts = linked.groupBy("family").agg(F.count_if(F.col("family") == F.col("other")).alias("within"), F.count_if(F.col("family") != F.col("other")).alias("across"))
     return a.groupBy("family").agg(F.count(F.lit(1)).alias("n_models")).join(counts, "family", "left").fillna(0, ["within", "across"])
 
@@ -75,15 +126,20 @@ def size_outliers(models: DataFrame, length: str = "m") -> DataFrame:
     counts = models.groupBy(F.col(length).alias("l")).agg(F.count(F.lit(1)).alias("c"))
     run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("l")))
     total = F.sum("c")
-    n = counts.agg(total.alias("n")).withColumn("h", F.floor(F.col("n") / 2))
+    n = counts.agg(F.coalesce(total, F.lit(0)).alias("n")).scalar()
+    half = F.floor(F.col("n") / 2)
     at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("l").cast("double") * F.col("l")))
-    half = F.col("h")
-    low = (at(F.floor((half + 1) / 2)) + at(F.floor((half + 2) / 2))) / 2
     start = F.col("n") - half
-    high = (at(start + F.floor((half + 1) / 2)) + at(start + F.floor((half + 2) / 2))) / 2
-    bounds = run.join(F.broadcast(n)).agg(low.alias("q1"), high.alias("q3"), F.max("n").alias("n"))
+    known = run.withColumns({"n": n}).withColumns({"low1": F.floor((half + 1) / 2), "low2": F.floor((half + 2) / 2), "high1": start + F.floor((half + 1) / 2), "high2": start + F.floor((half + 2) / 2)})
+    low, high = ((at(F.col(f"{x}1")) + at(F.col(f"{x}2"))) / 2 for x in ("low", "high"))
+    bounds = known.agg(F.struct(low.alias("q1"), high.alias("q3"), F.max("n").alias("n"))).scalar()
     squared = F.col(length).cast("double") * F.col(length)
-    return models.join(F.broadcast(bounds)).withColumn("outlier", (F.col("n") >= 4) & (squared > F.col("q3") + 2 * (F.col("q3") - F.col("q1")))).drop("q1", "q3", "n")
+    return models.withColumn("b_", bounds).withColumn("outlier", (F.col("b_.n") >= 4) & (squared > F.col("b_.q3") + 2 * (F.col("b_.q3") - F.col("b_.q1")))).drop("b_")
+
+
+def position_scores(odds: Column) -> Column:
+    """Largest log odds of every position of a matrix."""
+    return F.transform(odds, F.array_max)
 
 
 def log_odds(probabilities: Column, background: Column) -> Column:

@@ -10,9 +10,10 @@ is linear in the field's length.
 
 Two grammars: ``plain`` fields hold names without blanks or signs unless quoted;
 ``typed`` fields hold ``type|name`` values whose name may hold blanks and signs,
-so a value ends only where another ``type|`` or a quote begins.
+so a value ends only where another ``type|`` or a quote begins; what stands before the
+first of these is one value without a type.
 
-The rule table is broadcast only while it has at most ``broadcast_rules`` rows;
+The rule table is broadcast only while it has at most ``broadcast_bytes``;
 beyond that it is joined by a salted shuffle, as one skeleton may be most rows'.
 
 Defined cases: null, blank and placeholder fields hold no value; empty entries
@@ -30,14 +31,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sekvant.staging import staged
+from sekvant.staging import measured, row_bytes
 
 #: The words that stand for "nothing known", compared in lower case.
 PLACEHOLDERS = ("unknown", "mixture", "none", "na", "?", ".")
 BLANKS = " \\t\\n\\r\\f\\x0b\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SIGNS = "\"',;；，、/|+&\\[\\](){}"
 PLAIN, TYPED = "plain", "typed"
-BROADCAST_RULES = 20_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 _SEPARATORS = set(",;；，、/|+&")
@@ -119,7 +120,7 @@ def split_rule(s: str, grammar: str) -> list[tuple[int, int, bool]]:
             while j < end and s[j] != " " and s[j] not in _SEPARATORS:
                 j += 1
             out.append((i + 1, j - i, False))
-        elif _opens(s, i, begin, end):
+        else:
             while j < end and not _opens(s, j, begin, end):
                 j += 1
             out.append((i + 1, _bare_end(s, i, j) - i, False))
@@ -155,11 +156,13 @@ def blank_or_placeholder(field: Column) -> Column:
     return field.isNull() | (bare == "") | bare.isin(*PLACEHOLDERS)
 
 
-def split_packed(df: DataFrame, row_id: str, field: str, *, grammar: str = PLAIN, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def split_packed(df: DataFrame, row_id: str, field: str, *, grammar: str = PLAIN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(row_id, pos, val, n_vals)``: every value, its place from 1 and its field's number of values."""
     rows = df.select(F.col(row_id).alias("row_id"), F.col(field).cast("string").alias("f")).where(~blank_or_placeholder(F.col("f"))).withColumn("skeleton", skeleton(F.col("f")))
-    rules = staged(rows.select("skeleton").distinct().mapInPandas(_resolve(grammar), _RULES).where("n_vals > 0"), "split-rules")
-    if rules.count() <= broadcast_rules:
+    # Resolving takes far more time than rows of skeletons show by their bytes, so it is spread by number.
+    spread = rows.select("skeleton").distinct().repartition(rows.sparkSession.sparkContext.defaultParallelism, "skeleton")
+    rules, seen = measured(spread.mapInPandas(_resolve(grammar), _RULES).where("n_vals > 0"), "split-rules", size=row_bytes("skeleton", "marks"))
+    if seen["size"] <= broadcast_bytes:
         ruled = rows.join(F.broadcast(rules), "skeleton")
     else:
         salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sekvant.functions import scores
+from sekvant.functions import names, scores
+from sekvant.operators import heavy_keys
 from sekvant.operators.best import best_row
 
+#: Least sub-model scores; rounds, neighbours added, E-value that ends a family's search, hits that do not improve, neighbours left out.
 MIN_PROTEIN_SCORE, MIN_NUCLEOTIDE_SCORE = 10.0, -20.0
+MAX_ROUNDS, EXPAND, EJECT_EVALUE, DECLINE_LIMIT, REACH = 5, 10, 1e-10, 3, 50
 
 
 def best_submodel(hits: DataFrame, parents: DataFrame | None = None) -> DataFrame:
@@ -26,7 +29,7 @@ def best_submodel(hits: DataFrame, parents: DataFrame | None = None) -> DataFram
     if parents is None:
         rows = hits.withColumns({"parent": F.col("query_name"), "size": F.col("query_len")})
     else:
-        rows = hits.join(F.broadcast(parents), "query_name", "left").withColumns({"parent": F.coalesce("parent", "query_name"), "size": F.coalesce("size", "query_len")})
+        rows = hits.join(parents, "query_name", "left").withColumns({"parent": F.coalesce("parent", "query_name"), "size": F.coalesce("size", "query_len")})
     rank = F.struct(F.col("dom_score").alias("score"), (-F.col("size")).alias("s"))
     best = rows.groupBy("target_name", "parent").agg(F.max(rank).alias("b"))
     return best.select("target_name", "parent", F.col("b.score").alias("score"), (-F.col("b.s")).alias("size"))
@@ -38,7 +41,7 @@ def screened(candidates: DataFrame, families: DataFrame, *, nucleotide: bool = F
     ``families`` maps ``parent`` to ``family``. Secondary rows always use the protein tiers.
     """
     least = MIN_NUCLEOTIDE_SCORE if nucleotide else MIN_PROTEIN_SCORE
-    rows = candidates.where(F.col("score") >= least).join(F.broadcast(families), "parent")
+    rows = candidates.where(F.col("score") >= least).join(families, "parent")
     rank = F.row_number().over(Window.partitionBy("target_name", "family").orderBy(F.desc("score"), "parent"))
     rows = rows.withColumn("is_secondary", rank > 1)
     size = F.col("size")
@@ -66,9 +69,53 @@ def missing_families(found: DataFrame, families: DataFrame) -> DataFrame:
     Every frame meets every family, but families are a fixed vocabulary: they ride
     along as one array and are subtracted per frame.
     """
-    every = families.select("family").distinct().agg(F.array_sort(F.collect_list("family")).alias("every"))
+    every = families.select("family").distinct().agg(F.array_sort(F.collect_list("family")).alias("every")).scalar()
     have = found.groupBy("target_name").agg(F.collect_set("family").alias("have"))
-    return have.join(F.broadcast(every)).select("target_name", F.explode(F.array_except("every", "have")).alias("family"))
+    return have.select("target_name", F.explode(F.array_except(every, F.col("have"))).alias("family"))
+
+
+def missing_searches(missing: DataFrame, families: DataFrame, *, batch: int = 100) -> DataFrame:
+    """``(query_name, batch, target_name)``: frames to search with every model of a family they lack.
+
+    Batches of a model hold ``batch`` frames, by exact numbering; the last may be short.
+    """
+    pairs = missing.join(families.select(F.col("parent").alias("query_name"), "family").distinct(), "family").select("query_name", "target_name").distinct()
+    return heavy_keys.numbered(pairs, "query_name", "target_name", chunk_rows=batch).select(F.col("k").alias("query_name"), F.col("chunk").alias("batch"), F.col("v").alias("target_name"))
+
+
+def search_cost(models: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(query_name, n_frames, cost, place)``: squared length times frames, dearest model first."""
+    n = pairs.groupBy("query_name").agg(F.count_distinct("target_name").alias("n_frames"))
+    rows = n.join(models.groupBy(F.col("name").alias("query_name")).agg(F.max("m").alias("m")), "query_name").withColumn("cost", F.col("m").cast("bigint") * F.col("m") * F.col("n_frames"))
+    # As many rows as models.
+    return rows.select("query_name", "n_frames", "cost", F.row_number().over(Window.orderBy(F.desc("cost"), "query_name")).alias("place"))
+
+
+def models_to_search(families: DataFrame, missing: DataFrame) -> DataFrame:
+    """``(family, models, frames)``: per missing family its models and the frames that lack it, regrouped."""
+    named = families.groupBy("family").agg(F.array_sort(F.collect_set("parent")).alias("models"))
+    return missing.groupBy("family").agg(F.count_distinct("target_name").alias("n_frames")).join(named, "family")
+
+
+def facet_stages(frames: DataFrame, candidates: DataFrame, families: DataFrame, hits: DataFrame, *, nucleotide: bool = False, verify: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two-step search from end to end: classified frames, and all its hits with the stage they come from.
+
+    ``candidates`` are the screen's best sub-model hits, ``hits`` what full searches give.
+    First candidates per frame and family are verified; frames that were verified are
+    searched with the models of the families they lack; frames without any sub-model hit
+    are searched with all models. Stages are told apart by ``stage``; their union keeps all rows.
+    """
+    ranked = screened(candidates, families, nucleotide=nucleotide)
+    strict = hits if verify is None else hits.where(verify)
+    classified = verified(ranked, strict)
+    key = ["target_name", "query_name"]
+    tried = ranked.where(~F.col("is_secondary")).select("target_name", F.col("model").alias("query_name")).distinct()
+    confirmed = strict.join(tried, key, "left_semi").withColumn("stage", F.lit("verified"))
+    found = classified.where("verified AND NOT is_secondary").select("target_name", "family")
+    lacking = missing_families(found, families).join(families.select(F.col("parent").alias("query_name"), "family"), "family").select(*key).distinct()
+    crossed = hits.join(lacking, key, "left_semi").withColumn("stage", F.lit("cross_family"))
+    rest = hits.join(without_signal(frames, candidates).select("target_name").distinct(), "target_name", "left_semi").withColumn("stage", F.lit("fallback"))
+    return classified, confirmed.unionByName(crossed).unionByName(rest)
 
 
 def pair_filter(hits: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -88,29 +135,32 @@ def first_confirming(candidates: DataFrame, hits: DataFrame) -> DataFrame:
     return confirmed.groupBy("target_name").agg(F.min_by("query_name", "rank").alias("query_name"), F.min("rank").alias("rank"))
 
 
-def confirm_iteratively(candidates: DataFrame, hits: DataFrame, edges: DataFrame, families: DataFrame, *, max_rounds: int = 5, expand: int = 10, eject_evalue: float = 1e-10, decline_limit: int = 3, reach: int = 50, max_edges: int = 2_000_000) -> DataFrame:
-    """``(target_name, query_name, round, status)``: models tried per frame and how the frame ended.
+def confirm_iteratively(frames: DataFrame, candidates: DataFrame, hits: DataFrame, edges: DataFrame, families: DataFrame, *, max_rounds: int = MAX_ROUNDS, expand: int = EXPAND, eject_evalue: float = EJECT_EVALUE, decline_limit: int = DECLINE_LIMIT, reach: int = REACH) -> DataFrame:
+    """``(target_name, query_name, round, confirmed, status)``: models tried per frame and how the frame ended.
 
     Per round a frame tries its next candidate. A hit at or below ``eject_evalue`` ends
     the search in the model's family; a better score than the family's best so far adds
     the model's nearest neighbours; after ``decline_limit`` hits in a row that are no
-    better the family is left. Frames are independent, so each runs all its rounds in
-    one place from its own candidates and hits, of which there are at most one per
-    model; only the model graph, bounded by ``max_edges``, is shared.
+    better the family is left. A frame without candidates is ``unresolved`` and has one
+    row without a model, one whose rounds ran out stays ``active``; both go to the full search.
+
+    Frames are independent, so each runs all its rounds in one place. It brings its
+    candidates, its hits, of which there are at most one per model, and with each hit the
+    model's ``reach`` nearest neighbours; the graph reaches them by joins, never whole.
     """
-    graph: dict[str, list[tuple[float, str]]] = {}
-    rows = edges.select("query", "target", "score").limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        raise ValueError("the model graph is too large to share")
-    for r in rows:
-        graph.setdefault(r["query"], []).append((-r["score"], r["target"]))
-    near = {q: [t for _, t in sorted(ts)[:reach]] for q, ts in graph.items()}
-    family = {r["parent"]: r["family"] for r in families.select("parent", "family").distinct().collect()}
-    offered = candidates.groupBy("target_name").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "parent"))).alias("queue"))
-    best = hits.groupBy("target_name", "query_name").agg(F.max("dom_score").alias("score"), F.min("i_evalue").alias("evalue"))
-    known = best.groupBy("target_name").agg(F.collect_list(F.struct("query_name", "score", "evalue")).alias("found"))
-
-    def frame(queue: list[str], found: dict[str, tuple[float, float]]) -> tuple[list[tuple[str, int]], str]:
+    def kin(model: str) -> Column:
+        return F.coalesce("family", names.domain_family(F.col(model)))
+
+    known = families.groupBy(F.col("parent").alias("m_")).agg(F.min("family").alias("family"))
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "target"))
+    close = edges.select("query", "target", "score", order.alias("rank")).where(F.col("rank") <= reach)
+    close = close.join(known, close["target"] == known["m_"], "left").select("query", F.struct("rank", "target", kin("target").alias("family")).alias("t"))
+    near = close.groupBy(F.col("query").alias("query_name")).agg(F.sort_array(F.collect_list("t")).alias("near"))
+    offered = candidates.join(known, candidates["parent"] == known["m_"], "left").groupBy("target_name").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "parent", kin("parent").alias("family")))).alias("queue"))
+    best = hits.groupBy("target_name", "query_name").agg(F.max("dom_score").alias("score"), F.min("i_evalue").alias("evalue")).join(near, "query_name", "left")
+    found = best.groupBy("target_name").agg(F.collect_list(F.struct("query_name", "score", "evalue", "near")).alias("found"))
+
+    def frame(queue: list[str], family: dict[str, str], found: dict[str, tuple[float, float, list[str]]]) -> tuple[list[tuple[str, int]], str]:
         tried, left_out, best_of, declines, out, status = set(), set(), {}, {}, [], "active"
         open_ = lambda m: m not in tried and m not in left_out
         for turn in range(1, max_rounds + 1):
@@ -121,15 +171,15 @@ def confirm_iteratively(candidates: DataFrame, hits: DataFrame, edges: DataFrame
             model = queue[0]
             tried.add(model)
             out.append((model, turn))
-            kin = family.get(model)
+            kin = family[model]
             if model in found:
-                score, evalue = found[model]
-                relatives = [m for m in near.get(model, []) if family.get(m) == kin]
+                score, evalue, near = found[model]
+                relatives = [m for m in near if family[m] == kin]
                 if evalue <= eject_evalue:
                     left_out.update(relatives)
                 elif score > best_of.get(kin, 0.0):
                     best_of[kin], declines[kin] = score, 0
-                    queue += [m for m in near.get(model, [])[:expand] if open_(m)]
+                    queue += [m for m in near[:expand] if open_(m)]
                 else:
                     declines[kin] = declines.get(kin, 0) + 1
                     if declines[kin] >= decline_limit:
@@ -143,9 +193,30 @@ def confirm_iteratively(candidates: DataFrame, hits: DataFrame, edges: DataFrame
         for b in batches:
             rows = []
             for target, queue, found in zip(b["target_name"], b["queue"], b["found"]):
-                hit = {} if found is None else {x["query_name"]: (x["score"], x["evalue"]) for x in found}
-                tried, status = frame([x["parent"] for x in queue], hit)
+                if queue is None:
+                    rows.append((target, None, None, False, "unresolved"))
+                    continue
+                family, hit = {x["parent"]: x["family"] for x in queue}, {}
+                for x in () if found is None else found:
+                    near = [] if x["near"] is None else x["near"]
+                    family.update((t["target"], t["family"]) for t in near)
+                    hit[x["query_name"]] = (x["score"], x["evalue"], [t["target"] for t in near])
+                tried, status = frame([x["parent"] for x in queue], family, hit)
                 rows += [(target, m, turn, m in hit, status) for m, turn in tried]
-            yield pd.DataFrame(rows, columns=["target_name", "query_name", "round", "confirmed", "status"])
+            yield pd.DataFrame(rows, columns=["target_name", "query_name", "round", "confirmed", "status"]).astype({"round": "Int32"})
 
-    return offered.join(known, "target_name", "left").mapInPandas(run, "target_name string, query_name string, round int, confirmed boolean, status string")
+    every = frames.select("target_name").distinct().join(offered, "target_name", "left").join(found, "target_name", "left")
+    return every.mapInPandas(run, "target_name string, query_name string, round int, confirmed boolean, status string")
+
+
+def iterative_stages(confirmed: DataFrame, hits: DataFrame) -> DataFrame:
+    """All hits of the iterative search with their stage: confirmed ones, and for frames that are not resolved the rest.
+
+    Frames that never had a candidate meet all models; others only those they have not tried.
+    """
+    key = ["target_name", "query_name"]
+    tried = confirmed.where(F.col("query_name").isNotNull()).select(*key)
+    first = hits.join(tried, key, "left_semi").withColumn("stage", F.lit("confirmed"))
+    left = confirmed.where("status <> 'resolved'").select("target_name").distinct()
+    rest = hits.join(left, "target_name", "left_semi").join(tried, key, "left_anti").withColumn("stage", F.lit("fallback"))
+    return first.unionByName(rest)

@@ -35,13 +35,40 @@ def p6_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models that hold at least one in 25 of all rows, with their usual length."""
-    total = table(spark, sf_dir, "legacy_hits").agg(F.count(F.lit(1)).alias("total"))
-    return _usual_lengths(spark, sf_dir).join(F.broadcast(total), F.col("n_rows") * 25 >= F.col("total")).select(F.col("k").alias("query_name"), F.col("usual").alias("query_len"))
+    total = table(spark, sf_dir, "legacy_hits").agg(F.count(F.lit(1)).alias("total")).scalar()
+    return _usual_lengths(spark, sf_dir).where(F.col("n_rows") * 25 >= total).select(F.col("k").alias("query_name"), F.col("usual").alias("query_len"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_models": p6_models}
+def p6_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a model's length differs from that of its hit before, by id."""
+    found = heavy_keys.change_counts(table(spark, sf_dir, "legacy_hits"), "query_name", "query_len", order=["id"])
+    return found.select(F.col("k").alias("query_name"), F.col("n_rows").alias("n_hits"), "n_changes")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_models": p6_models, "p6_changes": p6_changes}
+
+#: Signs between values, and blanks, as a character class.
+_BETWEEN = r"[\s,;；，、/|+&]"
 
 ORACLES = {
+    # Typed values are told apart by what begins one, plain ones by what they consist of.
+    "p3_found": rf"""
+WITH f AS (
+  SELECT 'domains' AS src_field, cls_id AS row_id, trim(domains, E' \t\n\r') AS f FROM classifications
+  UNION ALL SELECT 'classified_by', hit_id, trim(classified_by, E' \t\n\r') FROM blast_hits),
+g AS (
+  SELECT src_field, row_id, CASE WHEN regexp_full_match(f, '\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}}') THEN f[2:-2] ELSE f END AS f FROM f
+  WHERE f IS NOT NULL AND lower(f) NOT IN ('', 'unknown', 'mixture', 'none', 'na', '?', '.')),
+p AS (
+  SELECT src_field, row_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM (
+    SELECT src_field, row_id, CASE WHEN src_field = 'domains'
+      THEN string_split(regexp_replace(regexp_replace(f, '("(?:[^"]|"")*")', E'\x01\\1\x01', 'g'), '(^|{_BETWEEN}|\x01)(''?[^\s,;；，、/|+&"''\x01]+\|[^\s,;；，、/|+&])', E'\\1\x01\\2', 'g'), E'\x01')
+      ELSE regexp_extract_all(f, '"(?:[^"]|"")*"|''[^'']*''|[^\s,;；，、/|+&]+') END AS x FROM g)),
+q AS (SELECT src_field, row_id, i, trim(regexp_replace(v, '^{_BETWEEN}+|{_BETWEEN}+$', '', 'g')) AS v FROM p),
+r AS (
+  SELECT src_field, row_id, i, trim(CASE WHEN v LIKE '"%"' AND length(v) > 1 THEN replace(v[2:-2], '""', '"') WHEN v LIKE '''%''' AND length(v) > 1 THEN v[2:-2] ELSE v END) AS v FROM q),
+n AS (SELECT src_field, row_id, v, row_number() OVER k AS pos, count(*) OVER (PARTITION BY src_field, row_id) AS n FROM r WHERE v <> '' WINDOW k AS (PARTITION BY src_field, row_id ORDER BY i))
+SELECT src_field, row_id, pos::INTEGER AS pos, v AS val FROM n WHERE n >= 2""",
     "p5_found": """
 WITH s AS (
   SELECT DISTINCT base_seq, least(env_from, env_to)::BIGINT AS f, greatest(env_from, env_to)::BIGINT AS t
@@ -60,6 +87,9 @@ WITH n AS (SELECT query_name, query_len, count(*) AS n FROM legacy_hits WHERE qu
 k AS (SELECT query_name, sum(n) AS n FROM n GROUP BY 1 HAVING sum(n) * 25 >= (SELECT count(*) FROM legacy_hits)),
 b AS (SELECT query_name, query_len, row_number() OVER (PARTITION BY query_name ORDER BY n DESC, query_len) AS r FROM n WHERE query_len IS NOT NULL)
 SELECT k.query_name, b.query_len FROM k LEFT JOIN b ON b.query_name = k.query_name AND b.r = 1""",
+    "p6_changes": """
+WITH c AS (SELECT query_name, query_len IS DISTINCT FROM lag(query_len) OVER w AS differs, row_number() OVER w AS i FROM legacy_hits WHERE query_name IS NOT NULL WINDOW w AS (PARTITION BY query_name ORDER BY id))
+SELECT query_name, count(*) AS n_hits, count(*) FILTER (differs AND i > 1) AS n_changes FROM c GROUP BY 1""",
     "p6_models": """
 WITH n AS (SELECT query_name, query_len, count(*) AS n FROM legacy_hits WHERE query_name IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT query_name, sum(n) AS n, count(query_len) AS lengths FROM n GROUP BY 1),

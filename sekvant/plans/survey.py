@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sekvant.functions import names, ontology, scores, sequences
 from sekvant.operators import best, classify, genome, models, overlap, screening
-from sekvant.sources import readers, writers
+from sekvant.sources import engines, readers, writers
 from sekvant.staging import staged
 from sekvant.tables import table
 
@@ -20,6 +20,8 @@ PATH_DB = classify.Database(
 )
 PREFIX_DB = classify.Database("gyrodb", "prefix", structures={("LTR", "Corvia"): ["GAG", "PROT", "INT", "RT", "RH"]})
 CONSTANT_DB = classify.Database("sinefold", "constant")
+#: Genes under other names.
+REMAP = {"TPase": "INT", "aRH": "RH"}
 WINDOW, WINDOW_OVERLAP = 200, 50
 KEEP = ("id", "base_seq", "target_name", "query_name", "domain_type", "dom_score", "env_from", "env_to")
 
@@ -80,11 +82,11 @@ def hit_filters_rounded(spark, d):
 
 
 def best_domain(spark, d):
-    return best.best_domains(_hits(spark, d), {"TPASE": "INT"}).select("base_seq", "gene", "id", "dom_score")
+    return best.best_domains(_hits(spark, d), REMAP).select("base_seq", "gene", "id", "dom_score")
 
 
 def selected_domains(spark, d):
-    return best.selected_domains(_hits(spark, d), {"TPASE": "INT"}).select("base_seq", "gene", "id", "dom_score")
+    return best.selected_domains(_hits(spark, d), REMAP).select("base_seq", "gene", "id", "dom_score")
 
 
 def best_per_family(spark, d):
@@ -195,23 +197,101 @@ def split_classified(spark, d):
 
 
 def blast_classified_by(spark, d):
-    lists = classify.database_lists(table(spark, d, "legacy_hits")).withColumnRenamed("base_seq", "sseqid")
-    hits = table(spark, d, "blast_hits").drop("classified_by").join(lists, "sseqid", "left")
-    return hits.select("hit_id", "qseqid", "sseqid", F.coalesce("classified_by", F.lit("unknown")).alias("classified_by"))
+    rows = writers.similarity_rows(table(spark, d, "blast_hits"), classify.database_lists(table(spark, d, "legacy_hits")))
+    return rows.select("hit_id", "qseqid", "sseqid", "classified_by")
 
 
 def _domain_rows(spark, d):
-    """Selected domains with nucleotide ends; the length comes from the frame's length."""
+    """Selected domains of axdb with nucleotide ends; the length comes from the frame's length."""
     rows = best.selected_domains(_hits(spark, d, "axdb"))
     start, end = scores.protein_to_bases(F.col("env_from"), F.col("env_to"), F.col("strand"), F.col("frame"), F.col("target_len") * 3 + F.col("frame"))
     p = names.path_labels(F.col("query_name"))
-    return rows.withColumns({"start": start, "end": end, "clade": p["clade"]})
+    return rows.withColumns({"start": start, "end": end, "clade": p["clade"], "shown": p["gene"]})
 
 
-def dom_gff3_rows(spark, d):
-    rows = _domain_rows(spark, d)
-    seq = names.gff_safe(F.col("base_seq"))
-    return rows.select("id", seq.alias("seqid"), "start", "end", "strand", F.concat(seq, F.lit("|"), names.gff_safe(F.col("query_name"))).alias("feature_id"), F.concat("clade", F.lit("-"), "gene").alias("name"))
+def _frames(spark, d):
+    """Amino acids made up from every frame's name, as long as its hits say."""
+    hits = table(spark, d, "legacy_hits").where("target_name IS NOT NULL AND target_len > 0")
+    n = F.max("target_len")
+    letters = F.translate(F.sha2("target_name", 256), "0123456789abcdef", "ACDEFGHIKLMNPQRS")
+    frames = hits.groupBy("target_name").agg(n.alias("n"))
+    return frames.select("target_name", F.substring(F.repeat(letters, F.ceil(F.col("n") / 64).cast("int")), F.lit(1), F.col("n")).alias("aa"))
+
+
+def dom_gff3_lines(spark, d):
+    """The domain GFF3 file of axdb."""
+    return writers.domain_gff_lines(_domain_rows(spark, d))
+
+
+def dom_table_lines(spark, d):
+    """The domain table of axdb."""
+    return writers.domain_table_lines(_domain_rows(spark, d))[1]
+
+
+def dom_sequences(spark, d):
+    """The domain sequences of axdb."""
+    return writers.domain_records(_domain_rows(spark, d), _frames(spark, d))
+
+
+def class_sequences(spark, d):
+    """Domain sequences of axdb's classified elements, as wrapped records."""
+    calls = classify.classify(_hits(spark, d, "axdb"), PATH_DB)
+    records = writers.peptide_records(_domain_rows(spark, d), _frames(spark, d), calls)
+    return writers.fasta_lines(records, F.col("head"), F.col("seq")).select("base_seq", "start", "query_name", "line")
+
+
+def class_table_lines(spark, d):
+    """The classification table of all databases with secondary calls and lineage."""
+    out = classify.reconcile(_recorded(spark, d), table(spark, d, "harmonization"), _scope(spark, d))
+    blank = {c: F.lit(v) for c, v in (("complete", "unknown"), ("strand", "+"), ("domains", "none"))}
+    return writers.classification_lines(out.withColumns(blank), secondary=True, lineage=True)[1]
+
+
+def frame_tiers(spark, d):
+    """The table of verified sub-model classifications."""
+    ranked = screening.verified(screening.screened(_screen(spark, d), _families(spark, d)), _hits(spark, d).where("i_evalue <= 1e-5"))
+    return writers.frame_tier_lines(ranked)[1]
+
+
+def raw_hit_lines(spark, d):
+    """All hits as they are."""
+    return engines.raw_hit_lines(_hits(spark, d))[1]
+
+
+def _lengths(spark, d):
+    """Lengths of the sequences that have a usable one."""
+    return readers.sequence_lengths(table(spark, d, "sequences").where("length > 0"))
+
+
+def best_hit_lines(spark, d):
+    return engines.best_hit_lines(_hits(spark, d), _lengths(spark, d))[1]
+
+
+def all_domain_lines(spark, d):
+    return engines.all_domain_lines(_hits(spark, d), _lengths(spark, d))[1]
+
+
+def chosen_hit_lines(spark, d):
+    return engines.chosen_hit_lines(best.best_per_family(_hits(spark, d)), _lengths(spark, d))[1]
+
+
+def hit_sequences(spark, d):
+    return engines.hit_records(_hits(spark, d), _frames(spark, d), _lengths(spark, d))
+
+
+def database_hits(spark, d):
+    """One database's hits, as the table-bound query gives them."""
+    return readers.database_hits(spark, d, "legacy_hits", "gyrodb").select("id", "base_seq", "env_from")
+
+
+def union_calls(spark, d):
+    """Rows to be stored: the three readable databases' calls, and those inherited from similar elements."""
+    recorded = _recorded(spark, d)
+    calls = classify.reconcile(recorded, table(spark, d, "harmonization"), _scope(spark, d))
+    more = classify.inherit_from_similar(table(spark, d, "blast_hits"), recorded, calls).withColumn("database", F.lit("similar"))
+    c = classify.classify(_hits(spark, d, "sinefold"), CONSTANT_DB).withColumn("database", F.lit("sinefold"))
+    own = _calls(spark, d).unionByName(c)
+    return writers.classification_rows(own.unionByName(more.drop("bitscore"), allowMissingColumns=True), "legacy")
 
 
 def aa_to_nucl(spark, d):
@@ -221,9 +301,9 @@ def aa_to_nucl(spark, d):
 
 def strand_normalize(spark, d):
     name, low, high = scores.ascending_with_strand(F.col("base_seq"), F.col("env_from"), F.col("env_to"))
-    mega = readers.sequence_lengths(table(spark, d, "sequences").where("length > 0")).agg((F.sum("length") / F.lit(1e6)).alias("mb"))
+    mega = readers.sequence_lengths(table(spark, d, "sequences").where("length > 0")).agg((F.sum("length") / F.lit(1e6)).alias("mb")).scalar()
     hits = table(spark, d, "legacy_hits").where("base_seq IS NOT NULL AND env_from IS NOT NULL AND env_to IS NOT NULL")
-    return hits.join(F.broadcast(mega)).select("id", name.alias("target"), low.alias("low"), high.alias("high"), (F.col("i_evalue") * F.col("mb")).alias("scaled_evalue"))
+    return hits.select("id", name.alias("target"), low.alias("low"), high.alias("high"), (F.col("i_evalue") * mega).alias("scaled_evalue"))
 
 
 def domain_keep_semi(spark, d):
@@ -267,6 +347,23 @@ def genome_summary(spark, d):
     return overlap.class_summary(_features(spark, d))
 
 
+def genome_summary_lines(spark, d):
+    """The summary file: levels in three columns."""
+    return overlap.summary_lines(overlap.class_summary(_features(spark, d)))[1]
+
+
+def _all_features(spark, d):
+    elements = genome.features(table(spark, d, "legacy_hits").where("database = 'sinefold'"), CONSTANT_DB, genome.NUCLEOTIDE)
+    return _protein_features(spark, d).unionByName(elements)
+
+
+def genome_sequences(spark, d):
+    """Sequences of all features before overlaps are resolved: amino acids of frames, bases of windows and chromosomes, which are made up."""
+    windows = _frames(spark, d).select(F.col("target_name").alias("key"), F.col("aa").alias("seq"))
+    bases = _window_lengths(spark, d).select(F.col("window_id").alias("key"), F.substring(F.repeat(F.translate(F.sha2("window_id", 256), "0123456789abcdef", "ACGTACGTACGTACGT"), F.ceil(F.col("length") / 64).cast("int")), F.lit(1), F.col("length")).alias("seq"))
+    return genome.feature_sequences(_all_features(spark, d), windows, bases, bases)
+
+
 def overlap_pairs(spark, d):
     """Overlap of every feature with the one before it in its place and type."""
     from pyspark.sql import Window
@@ -320,9 +417,8 @@ def genome_features_all(spark, d):
 
 def genome_annotation(spark, d):
     """Features of all three readable databases, overlaps resolved, as GFF3 lines."""
-    elements = genome.features(table(spark, d, "legacy_hits").where("database = 'sinefold'"), CONSTANT_DB, genome.NUCLEOTIDE)
     # The sweep reads its rows several times; written once, their plan does not repeat.
-    rows = staged(_protein_features(spark, d).unionByName(elements), "annotation-features")
+    rows = staged(_all_features(spark, d), "annotation-features")
     return genome.gff_lines(overlap.resolve_overlaps(rows))
 
 
@@ -335,7 +431,7 @@ def facet_verified(spark, d):
 
 
 def missing_families(spark, d):
-    found = _hits(spark, d).where("dom_score >= 30").join(F.broadcast(_families(spark, d)), F.col("query_name") == F.col("parent")).select("target_name", F.col("domain_type").alias("x"), "family")
+    found = _hits(spark, d).where("dom_score >= 30").join(_families(spark, d), F.col("query_name") == F.col("parent")).select("target_name", F.col("domain_type").alias("x"), "family")
     return screening.missing_families(found, _families(spark, d))
 
 
@@ -356,27 +452,93 @@ def models_by_frame(spark, d):
     return screening.models_by_frame(_hits(spark, d)).select("target_name", F.array_join("models", ",").alias("models"))
 
 
-def iterative_confirm(spark, d):
+def search_plan(spark, d):
+    """Batches of the searches for missing families, and how dear each model is."""
+    found = _hits(spark, d).where("dom_score >= 30").join(_families(spark, d), F.col("query_name") == F.col("parent")).select("target_name", "family")
+    batches = screening.missing_searches(screening.missing_families(found, _families(spark, d)), _families(spark, d))
+    sizes = batches.groupBy("query_name").agg(F.max("batch").alias("last_batch"), F.count(F.lit(1)).alias("n_pairs"))
+    return screening.search_cost(table(spark, d, "models"), batches).join(sizes, "query_name")
+
+
+def missing_models(spark, d):
+    """Families that frames lack, with their models and the number of frames."""
+    found = _hits(spark, d).where("dom_score >= 30").join(_families(spark, d), F.col("query_name") == F.col("parent")).select("target_name", "family")
+    grouped = screening.models_to_search(_families(spark, d), screening.missing_families(found, _families(spark, d)))
+    return grouped.select("family", "n_frames", F.array_join("models", ",").alias("models"))
+
+
+def _facets(spark, d):
+    hits = _hits(spark, d)
+    return screening.facet_stages(hits.select("target_name"), _screen(spark, d).where("score >= 15"), _families(spark, d), hits.where("i_evalue <= 1e-3"), verify=F.col("i_evalue") <= 1e-5)
+
+
+def union_stages(spark, d):
+    """Hits of all stages of the two-step search, each with its stage; a hit may come in two."""
+    return _facets(spark, d)[1].select("id", "target_name", "query_name", "stage")
+
+
+def searched_models(spark, d):
+    """Model and frame pairs that any stage or the quick search touched, once each."""
+    quick = screening.first_confirming(_screen(spark, d), _hits(spark, d).where("i_evalue <= 1e-10")).select("target_name", "query_name")
+    return _facets(spark, d)[1].select("target_name", "query_name").union(quick).distinct()
+
+
+def _iterative(spark, d):
     hits = _hits(spark, d)
-    return screening.confirm_iteratively(_screen(spark, d), hits.where("i_evalue <= 1e-3"), _edges(spark, d), _families(spark, d))
+    frames = table(spark, d, "legacy_hits").where("target_name IS NOT NULL").select("target_name")
+    return screening.confirm_iteratively(frames, _screen(spark, d), hits.where("i_evalue <= 1e-3"), _shared_edges(spark, d), _families(spark, d))
 
 
-def _edges(spark, d):
+def iterative_confirm(spark, d):
+    """Models tried per frame, on the stand-in graph of shared elements."""
+    return _iterative(spark, d)
+
+
+def iterative_stages(spark, d):
+    """Hits of the iterative search: confirmed, and for unresolved frames the rest."""
+    return screening.iterative_stages(staged(_iterative(spark, d), "iterative"), _hits(spark, d).where("i_evalue <= 1e-3")).select("id", "target_name", "query_name", "stage")
+
+
+def _shared_edges(spark, d):
+    """Stand-in for the graph of models: in how many elements two models both occur, as the tables hold no consensus."""
     return models.shared_element_edges(best.best_per_family(_hits(spark, d)))
 
 
 def graph_neighbors_topk(spark, d):
-    return models.neighbours(_edges(spark, d), 5)
+    return models.neighbours(_shared_edges(spark, d), 5)
 
 
 def graph_report(spark, d):
-    return models.graph_report(_edges(spark, d), _families(spark, d).groupBy("parent").agg(F.min("family").alias("family")))
+    return models.graph_report(_shared_edges(spark, d), _families(spark, d).groupBy("parent").agg(F.min("family").alias("family")))
 
 
 def graph_traversal(spark, d):
-    edges = _edges(spark, d)
+    """Best-first order of the stand-in graph from its first model."""
+    edges = _shared_edges(spark, d)
     entry = edges.agg(F.min("query")).first()[0]
-    return spark.createDataFrame([(i, m, s) for i, (m, s) in enumerate(models.traversal(edges, entry))] if entry else [], "step int, model string, score double")
+    walk = models.traversal(edges, entry) if entry else ()
+    return spark.createDataFrame([(i, m, s) for i, (m, s) in enumerate(walk)], "step int, model string, score double")
+
+
+def _matrices(spark, d):
+    """Models with a made-up consensus and match probabilities, from their names alone."""
+    m = table(spark, d, "models").groupBy("name").agg(F.min("m").alias("m"))
+    letters = F.translate(F.sha2("name", 256), "0123456789abcdef", "ACGTACGTACGTACGT")
+    rows = m.select("name", F.lit("dna").alias("alphabet"), F.substring(F.repeat(letters, 8), F.lit(1), F.least("m", F.lit(40))).alias("consensus"))
+    column = lambda c: F.array(*(F.when(c == x, 0.85).otherwise(0.05) for x in "ACGT"))
+    return rows.withColumn("match", F.transform(F.filter(F.split("consensus", ""), lambda c: c != ""), column))
+
+
+def model_graph(spark, d):
+    """The graph of models: every consensus against every model, on made-up matrices, as the tables hold none."""
+    return models.consensus_edges(_matrices(spark, d), least=12.0).withColumn("score", F.round("score", 6))
+
+
+def position_scores(spark, d):
+    """Best log odds of every position of the made-up matrices, summed by model."""
+    background = F.array(*[F.lit(0.25)] * 4)
+    tracks = _matrices(spark, d).select("name", models.position_scores(F.transform("match", lambda p: models.log_odds(p, background))).alias("t"))
+    return tracks.select("name", F.size("t").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def model_size_iqr(spark, d):
@@ -398,19 +560,29 @@ def greedy_domains(spark, d):
 
 
 def multi_db_agreement(spark, d):
+    """How often every two databases agree on an element, under native and under harmonized names."""
     calls = classify.harmonized(_recorded(spark, d), table(spark, d, "harmonization"))
-    a, b = calls.where("database = 'axdb'").alias("a"), calls.where("database = 'plantrep'").alias("b")
-    j = a.join(b, F.col("a.id") == F.col("b.id"))
+    a, b = calls.alias("a"), calls.alias("b")
+    # At most one call per element and database.
+    j = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.database") < F.col("b.database")))
     same = lambda x, s="": F.count_if((F.col(f"a.superfamily{s}") == F.col(f"b.superfamily{s}")) & (F.col(f"a.clade{s}") == F.col(f"b.clade{s}")) if x else F.col(f"a.superfamily{s}") == F.col(f"b.superfamily{s}"))
-    return j.agg(F.count(F.lit(1)).alias("n"), same(False).alias("raw_superfamily"), same(True).alias("raw_clade"), same(False, "_h").alias("harmonized_superfamily"), same(True, "_h").alias("harmonized_clade"))
+    return j.groupBy(F.col("a.database").alias("db_a"), F.col("b.database").alias("db_b")).agg(F.count(F.lit(1)).alias("n"), same(False).alias("raw_superfamily"), same(True).alias("raw_clade"), same(False, "_h").alias("harmonized_superfamily"), same(True, "_h").alias("harmonized_clade"))
+
+
+def clade_spread(spark, d):
+    """How many elements have how many different clades, under native and under harmonized names."""
+    calls = classify.harmonized(_recorded(spark, d), table(spark, d, "harmonization"))
+    each = calls.groupBy("id").agg(F.count_distinct("clade").alias("n_raw"), F.count_distinct("clade_h").alias("n_harmonized"))
+    return each.groupBy("n_raw", "n_harmonized").agg(F.count(F.lit(1)).alias("n_elements"))
 
 
 def domtbl_parse(spark, d):
-    """Hits written as a per-domain table and read again."""
+    """Hits written as a per-domain table, with all their numbers, and read again."""
     h = _hits(spark, d)
-    text = F.concat_ws("  ", "target_name", F.lit("-"), "target_len", F.replace("query_name", F.lit(" "), F.lit("_")), F.lit("-"), "query_len", F.lit("1e-5"), F.lit("50.5"), F.lit("0.5"), "dom_num", "dom_of", F.lit("1e-6"), F.lit("1e-4"), F.lit("40.25"), F.lit("0.25"), "hmm_from", "hmm_to", "ali_from", "ali_to", "env_from", "env_to", F.lit("0.75"), F.lit("hit"), "id")
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    text = F.concat_ws("  ", "target_name", F.lit("-"), cell("target_len"), F.replace("query_name", F.lit(" "), F.lit("_")), F.lit("-"), *map(cell, ("query_len", "evalue", "score", "bias", "dom_num", "dom_of", "c_evalue", "i_evalue", "dom_score", "dom_bias", "hmm_from", "hmm_to", "ali_from", "ali_to", "env_from", "env_to", "acc")), F.lit("hit"), "id")
     back = readers.domain_table(h.select(text.alias("value")).unionByName(spark.createDataFrame([("# comment",), ("too short",)], "value string")))
-    return back.select(F.substring_index("description", " ", -1).cast("bigint").alias("id"), "target_name", "query_name", "query_len", "i_evalue", "dom_score", "env_from", "env_to", "acc")
+    return back.select(F.substring_index("description", " ", -1).cast("bigint").alias("id"), "target_name", "query_name", "query_len", "evalue", "score", "bias", "dom_num", "dom_of", "c_evalue", "i_evalue", "dom_score", "dom_bias", "hmm_from", "hmm_to", "ali_from", "ali_to", "env_from", "env_to", "acc")
 
 
 def id_registry(spark, d):
@@ -418,13 +590,20 @@ def id_registry(spark, d):
     return writers.id_registry(models_.select("name"), "model").withColumn("kind", F.lit("model")).unionByName(writers.id_registry(models_.select(F.col("family").alias("name")), "family").withColumn("kind", F.lit("family")))
 
 
-def union_stages(spark, d):
-    """All stages of a search as one table with the number of hits and frames of each."""
-    return table(spark, d, "legacy_hits").groupBy("search_mode", "database", "strand").agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct("target_name").alias("n_frames"))
+def frame_registry(spark, d):
+    """Ids of frames and of the sequences they belong to."""
+    return writers.frame_registry(table(spark, d, "legacy_hits").select(F.col("target_name").alias("name")))
+
+
+def id_names(spark, d):
+    """Names looked up by the ids of sequences, one id unknown."""
+    known = writers.id_registry(table(spark, d, "sequences").select("name"), "sequence")
+    asked = table(spark, d, "blast_hits").where("sseqid IS NOT NULL").select(names.stable_id(F.col("sseqid")).alias("id")).union(spark.createDataFrame([(0,)], "id bigint"))
+    return writers.names_of(asked, known)
 
 
 def classified_ids(spark, d):
     return classify.database_lists(table(spark, d, "legacy_hits"))
 
 
-QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, reconcile_classified_all, so_lookup, pass2_inherit, pass2_inherit_all, split_classified, blast_classified_by, dom_gff3_rows, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, genome_features, genome_features_all, genome_elements, genome_annotation, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids)}
+QUERIES = {f.__name__: f for f in (family_parse, path_labels, prefix_labels, stable_ids, window_ids, hit_filters, hit_filters_rounded, best_domain, selected_domains, best_per_family, best_per_family_filtered, best_per_frame, best_per_model, best_with_ties, classify_score_vote, classify_count_vote, classify_prefix, classify_constant, reconcile_vote, secondary_strings, reconcile_classified, reconcile_classified_all, so_lookup, pass2_inherit, pass2_inherit_all, split_classified, blast_classified_by, aa_to_nucl, strand_normalize, domain_keep_semi, clean_seq, revcomp, six_frames, genome_windows, cls_lib, features_resolved, genome_summary, genome_features, genome_features_all, genome_elements, genome_annotation, overlap_pairs, facet_primary_secondary, facet_verified, missing_families, unclassified_frames, quick_first_confirming, pass2_pair_filter, models_by_frame, iterative_confirm, graph_neighbors_topk, graph_report, graph_traversal, model_size_iqr, window_sums, greedy_domains, multi_db_agreement, domtbl_parse, id_registry, union_stages, classified_ids, dom_gff3_lines, dom_table_lines, dom_sequences, class_sequences, class_table_lines, frame_tiers, raw_hit_lines, best_hit_lines, all_domain_lines, chosen_hit_lines, hit_sequences, database_hits, union_calls, search_plan, missing_models, searched_models, iterative_stages, model_graph, position_scores, clade_spread, frame_registry, id_names, genome_summary_lines, genome_sequences)}

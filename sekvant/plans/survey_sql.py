@@ -23,7 +23,7 @@ def _best(keys: str, score: str = "dom_score DESC", where: str = "TRUE", source:
 
 
 def _gene(remap: bool) -> str:
-    return "CASE WHEN domain_type = 'TPASE' THEN 'INT' ELSE domain_type END" if remap else "domain_type"
+    return "CASE domain_type WHEN 'TPASE' THEN 'INT' WHEN 'ARH' THEN 'RH' ELSE domain_type END" if remap else "domain_type"
 
 
 def _domains(database: str | None, remap: bool = False, rounded: bool = False) -> str:
@@ -160,6 +160,52 @@ _SO_CASE = {"ltr/corvia": ("LTR_retrotransposon", "SO:0000186"), "ltr": ("LTR_re
 _SO_ROWS = ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _SO_CASE.items())
 _N = lambda x: f"replace(replace(lower(trim({x})), '-', '_'), ' ', '')"
 
+_X = f"""x AS (
+  SELECT *, {_START} AS start, {_END} AS "end", {_path("query_name")["c"]} AS clade, {_path("query_name")["g"]} AS shown, printf('%.1f', hmm_cov) AS cov,
+    regexp_replace(base_seq, '[;=|]', '_', 'g') || '|' || query_name AS gid,
+    array_to_string(list_filter(['ID=' || gid, 'Name=' || clade || '-' || shown, 'gene=' || gene, 'clade=' || clade, 'coverage=' || cov, 'evalue=' || i_evalue::VARCHAR, 'probability=' || acc::VARCHAR], lambda v: v IS NOT NULL), ';') AS attr FROM d)"""
+_DOM = f"{_domains('axdb')}, {_X}"
+_AA = """fr AS (SELECT target_name, substr(repeat(translate(sha256(target_name), '0123456789abcdef', 'ACDEFGHIKLMNPQRS'), ceil(max(target_len) / 64.0)::BIGINT), 1, max(target_len)) AS aa
+  FROM legacy_hits WHERE target_name IS NOT NULL AND target_len > 0 GROUP BY target_name)"""
+_VERIFIED = f"""{_RANKED}, fnd AS (SELECT h.* FROM h JOIN rk ON rk.target_name = h.target_name AND rk.model = h.query_name AND NOT rk.is_secondary WHERE h.i_evalue <= 1e-5),
+ful AS (SELECT target_name, query_name AS model, max(dom_score) AS full_score FROM fnd GROUP BY 1, 2),
+vf AS (SELECT rk.*, coalesce(ful.full_score, 0.0) AS full_score, rk.target_name IN (SELECT target_name FROM fnd) AS verified FROM rk LEFT JOIN ful USING (target_name, model))"""
+_READ = rf"""{H}, ln AS (SELECT name AS seq_id, max(length) AS known FROM sequences WHERE length > 0 AND name IS NOT NULL GROUP BY 1),
+r0 AS (SELECT *, {SPLIT.format("target_name")} AS ok, CASE WHEN ok THEN regexp_extract(target_name, '(?s)^(.*)\|(fwd|rev)', 1) ELSE target_name END AS seq_id,
+  CASE WHEN NOT ok THEN '.' WHEN contains(split_part(target_name, '|', -1), 'fwd') THEN '+' ELSE '-' END AS way, CASE WHEN ok THEN (right(target_name, 1)::INTEGER - 1)::VARCHAR ELSE '.' END AS no FROM h),
+rd AS (SELECT r0.*, ok AND known IS NOT NULL AS based, CASE WHEN based THEN known ELSE target_len END AS seq_len,
+  CASE WHEN NOT based THEN env_from WHEN way = '+' THEN (env_from - 1) * 3 + no::INTEGER + 1 ELSE known - (env_to * 3 + no::INTEGER) + 1 END AS nuc_start,
+  CASE WHEN NOT based THEN env_to WHEN way = '+' THEN env_to * 3 + no::INTEGER ELSE known - ((env_from - 1) * 3 + no::INTEGER) END AS nuc_end FROM r0 LEFT JOIN ln USING (seq_id))"""
+_MEASURES = "nuc_start::VARCHAR, nuc_end::VARCHAR, env_from::VARCHAR, env_to::VARCHAR, hmm_from::VARCHAR, hmm_to::VARCHAR, printf('%.1f', hmm_cov), printf('%.2e', i_evalue), printf('%.1f', dom_score), printf('%.1f', dom_bias), printf('%.3f', acc)"
+_MISSING = f"""{H}, {_FAM}, have AS (SELECT DISTINCT target_name, family FROM h JOIN fam ON fam.parent = h.query_name WHERE dom_score >= 30),
+miss AS (SELECT t.target_name, f.family FROM (SELECT DISTINCT target_name FROM have) t, (SELECT DISTINCT family FROM models) f EXCEPT SELECT target_name, family FROM have)"""
+_STAGES = f"""{_RANKED.replace("WHERE score >= 10", "WHERE score >= 15")}, tried AS (SELECT DISTINCT target_name, model AS query_name FROM rk WHERE NOT is_secondary),
+cf AS (SELECT h.* FROM h SEMI JOIN tried USING (target_name, query_name) WHERE i_evalue <= 1e-5),
+hv AS (SELECT DISTINCT target_name, family FROM rk WHERE NOT is_secondary AND target_name IN (SELECT target_name FROM cf)),
+lk AS (SELECT DISTINCT target_name, parent AS query_name FROM (SELECT t.target_name, f.family FROM (SELECT DISTINCT target_name FROM hv) t, (SELECT DISTINCT family FROM models) f EXCEPT SELECT target_name, family FROM hv) JOIN fam USING (family)),
+st AS (SELECT id, target_name, query_name, 'verified' AS stage FROM cf UNION ALL SELECT id, target_name, query_name, 'cross_family' FROM h SEMI JOIN lk USING (target_name, query_name) WHERE i_evalue <= 1e-3
+  UNION ALL SELECT id, target_name, query_name, 'fallback' FROM h WHERE i_evalue <= 1e-3 AND target_name NOT IN (SELECT target_name FROM scr WHERE score >= 15))"""
+_MAT = "mat AS (SELECT name, substr(repeat(translate(sha256(name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 8), 1, least(min(m), 40)) AS consensus FROM models GROUP BY name)"
+#: Features of the three readable databases.
+_GENOME = rf"""x AS (SELECT *, {SPLIT.format("target_name")} AS ok, CASE WHEN ok THEN regexp_extract(target_name, '(?s)^(.*)\|(fwd|rev)', 1) ELSE target_name END AS win FROM legacy_hits),
+n AS (SELECT win, max(target_len) * 3 + 2 AS len FROM x WHERE target_name IS NOT NULL AND target_len IS NOT NULL GROUP BY 1),
+cm AS (SELECT clade_native AS c, min({{'o': order_h, 's': superfamily_h}}) AS x FROM harmonization WHERE db = 'gyrodb' AND clade_native <> 'unknown' GROUP BY 1),
+q AS (SELECT *, dom_score / query_len AS norm_score, 100.0::DOUBLE * (hmm_to - hmm_from + 1) / query_len AS hmm_cov, regexp_matches(win, '^(.+):(\d+)-(\d+)$') AS isw FROM x
+  WHERE database IN ('axdb', 'gyrodb', 'sinefold') AND target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND evalue IS NOT NULL
+    AND hmm_cov >= 20 AND evalue <= 1e-3 AND acc >= 0.5 AND norm_score >= 0.1),
+y AS (SELECT q.*, len, CASE WHEN ok THEN right(target_name, 1)::INTEGER - 1 END AS fr, CASE WHEN NOT ok THEN '.' WHEN contains(split_part(target_name, '|', -1), 'fwd') THEN '+' ELSE '-' END AS sign FROM q LEFT JOIN n ON n.win = q.win WHERE database = 'sinefold' OR len IS NOT NULL),
+z AS (SELECT *, CASE WHEN database = 'sinefold' THEN ali_from WHEN sign = '+' THEN (env_from - 1) * 3 + fr + 1 WHEN sign = '-' THEN len - (env_to * 3 + fr) + 1 ELSE env_from END AS a,
+  CASE WHEN database = 'sinefold' THEN ali_to WHEN sign = '+' THEN env_to * 3 + fr WHEN sign = '-' THEN len - ((env_from - 1) * 3 + fr) ELSE env_to END AS b,
+  CASE WHEN isw THEN regexp_extract(win, '^(.+):(\d+)-(\d+)$', 1) ELSE win END AS chrom, CASE WHEN isw THEN regexp_extract(win, '^(.+):(\d+)-(\d+)$', 2)::BIGINT - 1 ELSE 0 END AS sh,
+  CASE WHEN contains(query_name, '_') THEN substr(query_name, instr(query_name, '_') + 1) ELSE query_name END AS pc, {_path("query_name")["o"]} AS ao, {_path("query_name")["s"]} AS as_, {_path("query_name")["c"]} AS ac, {_path("query_name")["g"]} AS ag FROM y),
+w AS (SELECT z.*, least(a, b) + sh AS f_start, greatest(a, b) + sh AS f_end, CASE database WHEN 'axdb' THEN ao WHEN 'gyrodb' THEN coalesce(cm.x.o, 'Unknown') ELSE 'SINE' END AS o, CASE database WHEN 'axdb' THEN as_ WHEN 'gyrodb' THEN coalesce(cm.x.s, 'unknown') ELSE 'unknown' END AS s,
+  CASE database WHEN 'axdb' THEN ac WHEN 'gyrodb' THEN pc ELSE 'SINE' END AS clade, CASE database WHEN 'axdb' THEN ag WHEN 'gyrodb' THEN split_part(query_name, '_', 1) ELSE 'SINE' END AS gene,
+  CASE database WHEN 'axdb' THEN CASE WHEN starts_with(ac, 'Ty') OR as_ NOT IN ('Corvia', 'Gestrel') THEN 'unknown' ELSE ac END WHEN 'gyrodb' THEN pc ELSE 'unknown' END AS shown FROM z LEFT JOIN cm ON cm.c = z.pc),
+gf AS (SELECT chrom, CASE WHEN database = 'sinefold' THEN 'repeat_region' ELSE 'CDS' END AS type, f_start, f_end, round_even(norm_score * 1000, 0) / 1000 AS score, sign AS strand, CASE WHEN database = 'sinefold' THEN '.' ELSE fr::VARCHAR END AS phase,
+  array_to_string(list_filter([o, CASE WHEN s <> o THEN s END, CASE WHEN shown NOT IN (o, s) THEN shown END], lambda v: v IS NOT NULL AND v <> 'unknown'), '/') AS classification, gene, clade, hmm_cov AS coverage, evalue,
+  chrom || ':' || f_start || '-' || f_end || '|' || query_name AS gid, CASE WHEN database = 'sinefold' THEN 'raw' ELSE 'aa' END AS src, CASE WHEN database = 'sinefold' THEN win ELSE target_name END AS xkey,
+  CASE WHEN database = 'sinefold' THEN ali_from ELSE env_from END AS xfrom, CASE WHEN database = 'sinefold' THEN ali_to ELSE env_to END AS xto FROM w WHERE f_start IS NOT NULL AND f_end IS NOT NULL)"""
+
 ORACLES = {
     "family_parse": rf"""
 SELECT id, CASE WHEN contains(query_name, ':') THEN split_part(split_part(query_name, ':', 2), '-', -1) ELSE split_part(query_name, '_', 1) END AS family,
@@ -235,9 +281,6 @@ FROM t JOIN prim ON prim.id = t.sseqid""",
 WITH l AS (SELECT base_seq, string_agg(database, ',' ORDER BY database) AS c FROM (SELECT DISTINCT base_seq, database FROM legacy_hits WHERE base_seq IS NOT NULL AND database IS NOT NULL) GROUP BY 1)
 SELECT hit_id, qseqid, sseqid, coalesce(l.c, 'unknown') AS classified_by FROM blast_hits LEFT JOIN l ON l.base_seq = sseqid""",
     "classified_ids": "SELECT base_seq, string_agg(database, ',' ORDER BY database) AS classified_by FROM (SELECT DISTINCT base_seq, database FROM legacy_hits WHERE base_seq IS NOT NULL AND database IS NOT NULL) GROUP BY 1",
-    "dom_gff3_rows": rf"""WITH {_domains("axdb")}
-SELECT id, regexp_replace(base_seq, '[;=|]', '_', 'g') AS seqid, {_START} AS start, {_END} AS "end", strand,
-  regexp_replace(base_seq, '[;=|]', '_', 'g') || '|' || regexp_replace(query_name, '[;=|]', '_', 'g') AS feature_id, {_path("query_name")["c"]} || '-' || gene AS name FROM d""",
     "aa_to_nucl": f"WITH {H} SELECT id, ({_START})::BIGINT AS nuc_from, ({_END})::BIGINT AS nuc_to FROM h",
     "strand_normalize": """
 WITH n AS (SELECT sum(l) / 1e6::DOUBLE AS mb FROM (SELECT name, max(length) AS l FROM sequences WHERE length > 0 AND name IS NOT NULL GROUP BY 1))
@@ -323,11 +366,101 @@ WITH t AS (SELECT name AS model, min(m) AS m FROM models GROUP BY 1), p AS (SELE
 s AS (SELECT model, pos, ((length(model) * 31 + pos * 17) % 23) / 10.0::DOUBLE AS score FROM p),
 w AS (SELECT model, pos, sum(score) OVER w AS total, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY model ORDER BY pos ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING))
 SELECT model, pos::INTEGER AS pos, round(total, 6) AS total FROM w WHERE n = 32""",
+    "id_registry": f"SELECT DISTINCT {_ID('name')} AS id, name, 'model' AS kind FROM models UNION SELECT {_ID(chr(39) + 'family:' + chr(39) + ' || family')}, family, 'family' FROM models",
+    "dom_gff3_lines": f"""WITH {_DOM}
+SELECT base_seq, start, query_name, concat_ws(chr(9), base_seq, 'sekvant', 'CDS', start, "end", {R2.format("norm_score")}, coalesce(strand, ''), coalesce(frame::VARCHAR, ''), attr) AS line FROM x""",
+    "dom_table_lines": f"""WITH {_DOM}
+SELECT base_seq, start, query_name, concat_ws(chr(9), gid, env_to - env_from + 1, coalesce(i_evalue::VARCHAR, ''), cov, coalesce(acc::VARCHAR, ''), {R2.format("norm_score")}) AS line FROM x""",
+    "dom_sequences": f"""WITH {_DOM}, {_AA}
+SELECT base_seq, start, query_name, gid || ' ' || attr AS head, substr(aa, env_from, env_to - env_from + 1) AS seq FROM x JOIN fr USING (target_name)""",
+    "class_sequences": f"""WITH {_AX_CALLS}, {_X}, {_AA},
+named AS (SELECT id AS base_seq, array_to_string(list_filter([ord, CASE WHEN superfamily <> ord THEN superfamily END, CASE WHEN clade NOT IN (ord, superfamily) THEN clade END], lambda v: v IS NOT NULL AND v <> 'unknown'), '/') AS cls
+  FROM (SELECT *, "order" AS ord FROM calls))
+SELECT base_seq, start, query_name, '>' || split_part(base_seq, '#', 1) || '#' || cls || '#' || gene || '|' || clade || ' ' || gid || ' ' || replace(attr, ';Name=' || clade || '-' || shown, ';Name=' || clade || '-' || gene) || chr(10)
+  || rtrim(regexp_replace(substr(aa, env_from, env_to - env_from + 1), '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) AS line FROM x JOIN fr USING (target_name) JOIN named USING (base_seq)""",
+    "class_table_lines": f"""WITH {_reconcile(REC)}, sec AS (
+  SELECT id, string_agg(printf('%s:%s/%s/%s=%.3f', database, "order", superfamily, clade, score), ';' ORDER BY score DESC, database) AS s FROM rows GROUP BY id)
+SELECT prim.id, concat_ws(chr(9), prim.id, oh, sh, ch, 'unknown', '+', 'none', sec.s, coalesce(nullif(lw.top, ''), '.')) AS line FROM prim JOIN sec ON sec.id = prim.id LEFT JOIN lw ON lw.id = prim.id""",
+    "frame_tiers": f"""WITH {_VERIFIED}
+SELECT target_name, family, model, concat_ws(chr(9), target_name, family, model, printf('%.1f', facet_score), facet_m, confidence, CASE WHEN verified THEN 'yes' ELSE 'no' END, printf('%.1f', full_score), CASE WHEN is_secondary THEN 'yes' ELSE 'no' END) AS line FROM vf""",
+    "raw_hit_lines": f"""WITH {H}
+SELECT database, target_name, query_name, dom_num, array_to_string([coalesce(v, '') FOR v IN [database, target_name, target_len::VARCHAR, query_name, query_len::VARCHAR, evalue::VARCHAR, score::VARCHAR, bias::VARCHAR, dom_num::VARCHAR, dom_of::VARCHAR,
+  c_evalue::VARCHAR, i_evalue::VARCHAR, dom_score::VARCHAR, dom_bias::VARCHAR, hmm_from::VARCHAR, hmm_to::VARCHAR, ali_from::VARCHAR, ali_to::VARCHAR, env_from::VARCHAR, env_to::VARCHAR, acc::VARCHAR]], chr(9)) AS line FROM h""",
+    "best_hit_lines": f"""WITH {_READ}, top AS (SELECT * FROM rd QUALIFY dom_score = max(dom_score) OVER (PARTITION BY target_name, query_name))
+SELECT database, target_name, dom_score, query_name, env_from, array_to_string([coalesce(v, '') FOR v IN [database, seq_id, seq_len::VARCHAR, query_name, query_len::VARCHAR, way, no, {_MEASURES}]], chr(9)) AS line FROM top""",
+    "all_domain_lines": f"""WITH {_READ}
+SELECT database, target_name, query_name, dom_num, array_to_string([coalesce(v, '') FOR v IN [database, seq_id, seq_len::VARCHAR, query_name, query_len::VARCHAR, way, no, dom_num::VARCHAR, dom_of::VARCHAR, {_MEASURES}]], chr(9)) AS line FROM rd""",
+    "chosen_hit_lines": f"""WITH {_READ}, c AS ({_best("base_seq, domain_type", source="rd")})
+SELECT seq_id, query_name, env_from, array_to_string([coalesce(v, '') FOR v IN [seq_id, query_name, domain_type, way, no, nuc_start::VARCHAR, nuc_end::VARCHAR, env_from::VARCHAR, env_to::VARCHAR, hmm_from::VARCHAR, hmm_to::VARCHAR,
+  printf('%.1f', hmm_cov), printf('%.1f', dom_score), printf('%.4f', norm_score), printf('%.2e', i_evalue), printf('%.3f', acc)]], chr(9)) AS line FROM c""",
+    "hit_sequences": f"""WITH {_READ}, {_AA}, top AS (SELECT * FROM rd QUALIFY dom_score = max(dom_score) OVER (PARTITION BY target_name, query_name))
+SELECT target_name, dom_score, query_name, seq_id || '|' || query_name || ' ' || CASE WHEN based THEN 'nuc=' || nuc_start || '-' || nuc_end || ';' ELSE '' END || 'env=' || env_from || '-' || env_to || ';score=' || printf('%.1f', dom_score)
+  || ';evalue=' || printf('%.2e', i_evalue) || ';hmm_cov=' || printf('%.1f', hmm_cov) || ';acc=' || printf('%.3f', acc) AS head, substr(aa, env_from, env_to - env_from + 1) AS seq FROM top JOIN fr USING (target_name)""",
+    "database_hits": "SELECT id, base_seq, env_from FROM legacy_hits WHERE database = 'gyrodb'",
+    "union_calls": f"""WITH {_reconcile(REC)}, s AS (
+  SELECT * FROM blast_hits b WHERE bitscore IS NOT NULL AND sseqid IS NOT NULL AND pident >= 80 AND qcovs >= 80 AND length >= 80 AND NOT EXISTS (SELECT 1 FROM rows r WHERE r.id = b.qseqid)),
+t AS (SELECT qseqid, sseqid FROM s QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, sseqid) = 1),
+every AS (SELECT 'axdb' AS database, * FROM (WITH {_AX_CALLS} SELECT * FROM calls)
+  UNION ALL SELECT 'gyrodb', * FROM (WITH {_classify('gyrodb', 'prefix', _GY)} SELECT * FROM calls)
+  UNION ALL SELECT 'sinefold', * FROM (WITH {_classify('sinefold', 'constant', {})} SELECT * FROM calls))
+SELECT id AS seq_id, database, "order" AS te_order, superfamily, clade, complete, strand, domains, 'hmm' AS source, 'legacy' AS mode FROM every
+UNION ALL SELECT t.qseqid, 'similar', oh, sh, 'unknown', 'none', '?', 'none', t.sseqid, 'legacy' FROM t JOIN prim ON prim.id = t.sseqid""",
+    "search_plan": f"""WITH {_MISSING}, pr AS (SELECT DISTINCT fam.parent AS query_name, target_name FROM miss JOIN fam USING (family)),
+n AS (SELECT query_name, count(*) AS n_pairs FROM pr GROUP BY 1), mm AS (SELECT name AS query_name, max(m) AS m FROM models GROUP BY 1)
+SELECT query_name, n_pairs AS n_frames, m::BIGINT * m * n_pairs AS cost, row_number() OVER (ORDER BY m::BIGINT * m * n_pairs DESC, query_name)::INTEGER AS place, (n_pairs - 1) // 100 AS last_batch, n_pairs FROM n JOIN mm USING (query_name)""",
+    "missing_models": f"""WITH {_MISSING}, k AS (SELECT family, string_agg(parent, ',' ORDER BY parent) AS models FROM fam GROUP BY 1)
+SELECT family, count(DISTINCT target_name) AS n_frames, any_value(models) AS models FROM miss JOIN k USING (family) GROUP BY 1""",
+    "union_stages": f"""WITH {_STAGES} SELECT id, target_name, query_name, stage FROM st""",
+    "searched_models": f"""WITH {_STAGES}, r AS (SELECT target_name, parent AS query_name, row_number() OVER (PARTITION BY target_name ORDER BY score DESC, parent) AS rank FROM scr)
+SELECT target_name, query_name FROM st UNION (
+  SELECT target_name, query_name FROM r WHERE (target_name, query_name) IN (SELECT (target_name, query_name) FROM h WHERE i_evalue <= 1e-10) QUALIFY row_number() OVER (PARTITION BY target_name ORDER BY rank) = 1)""",
+    "graph_traversal": f"""WITH RECURSIVE {_EDGES},
+near AS (SELECT query, list({{'s': -score, 'k': rank, 'm': target}} ORDER BY rank) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS rank FROM edges) WHERE rank <= 10 GROUP BY 1),
+walk AS (
+  SELECT 0 AS step, min(query) AS model, 'inf'::DOUBLE AS score, [min(query)] AS seen, []::STRUCT(s DOUBLE, t BIGINT, m VARCHAR)[] AS heap FROM edges HAVING count(*) > 0
+  UNION ALL
+  SELECT step + 1, q[1].m, -(q[1].s), list_append(seen, q[1].m), q FROM (
+    SELECT step, seen, list_sort(list_filter(list_concat(heap, coalesce(list_transform(ts, lambda x: {{'s': x.s, 't': (step * 100 + x.k)::BIGINT, 'm': x.m}}), [])), lambda x: NOT list_contains(seen, x.m))) AS q
+    FROM walk LEFT JOIN near ON near.query = walk.model) WHERE len(q) > 0)
+SELECT step, model, score FROM walk""",
+    "model_graph": f"""WITH {_MAT},
+pos AS (SELECT name, unnest(range(1, length(consensus) + 1)) AS i, consensus FROM mat),
+a AS (SELECT name AS query, i, substr(consensus, i, 1) AS c FROM pos), b AS (SELECT name AS target, i, substr(consensus, i, 1) AS c FROM pos),
+cell AS (SELECT query, target, a.i - b.i AS diag, a.i, CASE WHEN a.c = b.c THEN log2(0.85 * 4) ELSE log2(0.05 * 4) END AS s FROM a, b),
+run AS (SELECT query, target, diag, sum(s) OVER w AS c, i FROM cell WINDOW w AS (PARTITION BY query, target, diag ORDER BY i)),
+low AS (SELECT query, target, c - least(0, coalesce(min(c) OVER (PARTITION BY query, target, diag ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM run)
+SELECT query, target, round(max(best), 6) AS score FROM low GROUP BY 1, 2 HAVING max(best) > 12.0""",
+    "position_scores": f"WITH {_MAT} SELECT name, length(consensus)::INTEGER AS n, round(length(consensus) * log2(0.85 / 0.25), 6) AS total FROM mat",
     "multi_db_agreement": f"""WITH {REC}, {HARM}
-SELECT count(*) AS n, count(*) FILTER (a.superfamily = b.superfamily) AS raw_superfamily, count(*) FILTER (a.superfamily = b.superfamily AND a.clade = b.clade) AS raw_clade,
+SELECT a.database AS db_a, b.database AS db_b, count(*) AS n, count(*) FILTER (a.superfamily = b.superfamily) AS raw_superfamily, count(*) FILTER (a.superfamily = b.superfamily AND a.clade = b.clade) AS raw_clade,
   count(*) FILTER (a.sh = b.sh) AS harmonized_superfamily, count(*) FILTER (a.sh = b.sh AND a.ch = b.ch) AS harmonized_clade
-FROM hz a JOIN hz b ON a.id = b.id AND a.database = 'axdb' AND b.database = 'plantrep'""",
-    "domtbl_parse": f"WITH {H} SELECT id, target_name, replace(query_name, ' ', '_') AS query_name, query_len, 1e-4::DOUBLE AS i_evalue, 40.25::DOUBLE AS dom_score, env_from, env_to, 0.75::DOUBLE AS acc FROM h",
-    "id_registry": f"SELECT DISTINCT {_ID('name')} AS id, name, 'model' AS kind FROM models UNION SELECT {_ID(chr(39) + 'family:' + chr(39) + ' || family')}, family, 'family' FROM models",
-    "union_stages": "SELECT search_mode, database, strand, count(*) AS n_hits, count(DISTINCT target_name) AS n_frames FROM legacy_hits GROUP BY 1, 2, 3",
+FROM hz a JOIN hz b ON a.id = b.id AND a.database < b.database GROUP BY 1, 2""",
+    "clade_spread": f"WITH {REC}, {HARM}, k AS (SELECT id, count(DISTINCT clade) AS n_raw, count(DISTINCT ch) AS n_harmonized FROM hz GROUP BY 1) SELECT n_raw, n_harmonized, count(*) AS n_elements FROM k GROUP BY 1, 2",
+    "domtbl_parse": f"WITH {H} SELECT id, target_name, replace(query_name, ' ', '_') AS query_name, query_len, evalue, score, bias, dom_num, dom_of, c_evalue, i_evalue, dom_score, dom_bias, hmm_from, hmm_to, ali_from, ali_to, env_from, env_to, acc FROM h",
+    "frame_registry": f"""
+SELECT DISTINCT {_ID('target_name')} AS id, target_name AS name, {_ID("CASE WHEN ok THEN regexp_extract(target_name, '(?s)^(.*)[|](fwd|rev)', 1) ELSE target_name END")} AS seq_id,
+  CASE WHEN NOT ok THEN 0 WHEN contains(split_part(target_name, '|', -1), 'fwd') THEN 1 ELSE -1 END AS direction, CASE WHEN ok THEN right(target_name, 1)::INTEGER - 1 ELSE 0 END AS frame
+FROM (SELECT *, {SPLIT.format("target_name")} AS ok FROM legacy_hits WHERE target_name IS NOT NULL)""",
+    "id_names": f"""WITH k AS (SELECT DISTINCT {_ID('name')} AS id, name FROM sequences WHERE name IS NOT NULL), a AS (SELECT DISTINCT {_ID('sseqid')} AS id FROM blast_hits WHERE sseqid IS NOT NULL UNION SELECT 0)
+SELECT a.id, k.name FROM a LEFT JOIN k USING (id)""",
+    "genome_summary_lines": f"""WITH {_FEAT}, p AS (SELECT f_end - f_start + 1 AS n, unnest(CASE WHEN contains(classification, '/') THEN [split_part(classification, '/', 1), classification, 'Total'] ELSE [classification, 'Total'] END) AS path FROM feat),
+t AS (SELECT path, count(*) AS number, sum(n)::BIGINT AS total, round_even(sum(n) / count(*) , 1) AS mean FROM p GROUP BY path)
+SELECT CASE split_part(path, '/', 1) WHEN 'LTR' THEN 1 WHEN 'SINE' THEN 6 ELSE 12 END::INTEGER AS place, path,
+  concat_ws(chr(9), CASE WHEN contains(path, '/') THEN '' ELSE path END, CASE WHEN contains(path, '/') THEN split_part(path, '/', 2) ELSE '' END, '', number, total, printf('%.1f', mean)) AS line FROM t""",
+    "genome_features_all": f"WITH {_GENOME} SELECT chrom, type, f_start, f_end, score, strand, phase, classification, gid, 'aa' AS src FROM gf WHERE src = 'aa'",
+    "genome_annotation": f"""WITH RECURSIVE {_GENOME},
+o AS (SELECT *, row(f_start, f_end, score, strand, phase, classification, gene, clade, coverage, evalue, gid, xkey, xfrom, xto) AS val, row_number() OVER (PARTITION BY chrom, type ORDER BY f_start, f_end, score DESC, gid, strand, evalue, coverage, xkey, xfrom, xto) AS rn FROM gf),
+sw AS (
+  SELECT chrom, type, rn, rn AS last, NULL::BIGINT AS gone FROM o WHERE rn = 1
+  UNION ALL
+  SELECT f.chrom, f.type, f.rn,
+    CASE WHEN f.val = l.val THEN s.last WHEN 100.0 * greatest(0, least(f.f_end, l.f_end) - greatest(f.f_start, l.f_start)) / least(f.f_end - f.f_start + 1, l.f_end - l.f_start + 1) > 20 AND f.score <= l.score THEN s.last ELSE f.rn END,
+    CASE WHEN f.val = l.val THEN f.rn WHEN 100.0 * greatest(0, least(f.f_end, l.f_end) - greatest(f.f_start, l.f_start)) / least(f.f_end - f.f_start + 1, l.f_end - l.f_start + 1) > 20 THEN CASE WHEN f.score > l.score THEN s.last ELSE f.rn END END
+  FROM sw s JOIN o f ON f.chrom = s.chrom AND f.type = s.type AND f.rn = s.rn + 1 JOIN o l ON l.chrom = s.chrom AND l.type = s.type AND l.rn = s.last),
+lost AS (SELECT DISTINCT o.chrom, o.type, o.val FROM sw JOIN o ON o.chrom = sw.chrom AND o.type = sw.type AND o.rn = sw.gone)
+SELECT chrom, f_start, gid, concat_ws(chr(9), chrom, 'sekvant', type, f_start, f_end, score, strand, phase, 'ID=' || gid || ';Name=' || clade || '-' || gene || ';Classification=' || classification || ';gene=' || gene || ';clade=' || clade
+  || ';coverage=' || printf('%.1f', coverage) || ';evalue=' || printf('%g', evalue) || ';score=' || printf('%.3f', score) || ';Ontology_term=SO:0000657;so_name=repeat_region') AS line FROM o ANTI JOIN lost USING (chrom, type, val)""",
+    "genome_sequences": f"""WITH {_GENOME}, {_AA}, wb AS (SELECT win AS key, substr(repeat(translate(sha256(win), '0123456789abcdef', 'ACGTACGTACGTACGT'), ceil(len / 64.0)::BIGINT), 1, len) AS seq FROM n)
+SELECT gid, src, gid || '#' || classification AS head, CASE WHEN src = 'aa' THEN coalesce(substr(fr.aa, xfrom, xto - xfrom + 1), '') WHEN strand = '-' THEN coalesce(reverse(translate(substr(wb.seq, xfrom, xto - xfrom + 1), 'ACGTacgt', 'TGCAtgca')), '') ELSE coalesce(substr(wb.seq, xfrom, xto - xfrom + 1), '') END AS seq
+FROM gf LEFT JOIN fr ON fr.target_name = xkey LEFT JOIN wb ON wb.key = xkey""",
 }

@@ -17,6 +17,30 @@ HIT_COLUMNS = "target_name string, target_accession string, target_len int, quer
 BLAST_COLUMNS = "qseqid string, sseqid string, pident double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double, qlen int, slen int, qcovs double, qcovhsp double, sstrand string"
 
 
+#: Entries the prefix database's map has besides its table's.
+EXTRA_CLADES = {
+    "ty1/copia": ("LTR", "Copia"),
+    "retroelement": ("LTR", "unknown"),
+    "retroviridae": ("LTR", "unknown"),
+    "B-type_betaretroviridae": ("LTR", "unknown"),
+    "D-type_betaretroviridae": ("LTR", "unknown"),
+    "caulimoviruses": ("LTR", "unknown"),
+    "caulimoviridae_dom2": ("LTR", "unknown"),
+    "errantiviridae": ("LTR", "unknown"),
+    "retropepsins": ("LTR", "unknown"),
+    "VPX_retroviridae": ("LTR", "unknown"),
+    "cog5550": ("Unknown", "unknown"),
+    "ddi": ("Unknown", "unknown"),
+    "dtg_ilg_template": ("Unknown", "unknown"),
+    "saspase": ("Unknown", "unknown"),
+    "GIN1": ("Unknown", "unknown"),
+    "shadow": ("Unknown", "unknown"),
+    "all": ("Unknown", "unknown"),
+    "pepsins_A1a": ("Unknown", "unknown"),
+    "pepsins_A1b": ("Unknown", "unknown"),
+}
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """``(name, description, seq, length)``; the name is the header's first word."""
     records = spark.read.option("lineSep", "\n>").text(path)
@@ -108,7 +132,7 @@ def frameshift_table(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
     shifted = lines.where(F.col("value").rlike(r"^#\s*hit ID")).select("file").distinct().withColumn("base", F.lit(1))
     parts = F.split(F.trim("value"), r"\s+")
-    rows = lines.where(~F.trim("value").startswith("#")).join(F.broadcast(shifted), "file", "left").withColumns({"p": parts, "b": F.coalesce("base", F.lit(0))}).where(F.size("p") >= F.col("b") + 15)
+    rows = lines.where(~F.trim("value").startswith("#")).join(shifted, "file", "left").withColumns({"p": parts, "b": F.coalesce("base", F.lit(0))}).where(F.size("p") >= F.col("b") + 15)
     at = lambda i, kind: F.get("p", F.col("b") + i).try_cast(kind)
     low, high = at(8, "int"), at(9, "int")
     named = {
@@ -153,7 +177,7 @@ def scope_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(p[0]).alias("db"), F.trim(p[1]).alias("superfamily_h"), (F.trim(p[3]) == "yes").alias("resolving"))
 
 
-def clade_map(spark: SparkSession, path: str, extra: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+def clade_map(spark: SparkSession, path: str, extra: dict[str, tuple[str, str]] | None = EXTRA_CLADES) -> DataFrame:
     """``(clade, order, superfamily)`` from a tab-separated table with Clade, Family and System columns.
 
     Each clade is listed as written, with underscores for hyphens, in lower case and
@@ -170,6 +194,26 @@ def clade_map(spark: SparkSession, path: str, extra: dict[str, tuple[str, str]]
     return last.join(F.broadcast(more.select("clade")), "clade", "left_anti").unionByName(more)
 
 
+#: Tables of hits that may be asked for.
+HIT_TABLES = ("legacy_hits", "pass1_hits", "pass2_hits", "facet_hits")
+
+
+def has_table(spark: SparkSession, folder: str, name: str, *columns: str) -> bool:
+    """Whether a data directory has the table, with the columns named."""
+    path = f"{folder}/{name}.parquet"
+    return _exists(spark, path) and set(columns) <= set(spark.read.parquet(path).columns)
+
+
+def database_hits(spark: SparkSession, folder: str, table: str, database: str | None = None) -> DataFrame:
+    """Hits of one database, or of all, from one of the known tables, by sequence and envelope."""
+    if table not in HIT_TABLES:
+        raise ValueError(f"{table} is no table of hits")
+    if not has_table(spark, folder, table):
+        raise FileNotFoundError(f"no table {table} in {folder}")
+    hits = spark.read.parquet(f"{folder}/{table}.parquet")
+    return (hits.where(F.col("database") == database) if database else hits).orderBy("base_seq", "env_from")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, value)`` in file order."""
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")

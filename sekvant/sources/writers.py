@@ -1,24 +1,26 @@
 """Result files: lines in a total order under one name, and the tables behind them.
 
-Large results belong in Parquet (``append_hits``); the named text files that other
-tools read are streamed to the driver partition by partition, never collected.
+Large results belong in Parquet (``append_hits``) or in folders of text written in
+parallel (``write_parts``); the named text files that other tools read are streamed
+to the driver partition by partition, never collected.
 """
 
 from __future__ import annotations
 
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sekvant.functions import names, sequences
+from sekvant.functions import names, scores, sequences
 from sekvant.operators import heavy_keys
 
 SOURCE = "sekvant"
 
 
 def write_lines(lines: DataFrame, path: str, *, order: list[str], header: str | None = None) -> int:
-    """Stream ``line`` to one file in the given order; the number of lines without the header."""
+    """Stream ``line`` to one local file in the given order; the number of lines without the header."""
     n = 0
     with Path(path).open("w", encoding="utf-8") as f:
         if header is not None:
@@ -29,6 +31,37 @@ def write_lines(lines: DataFrame, path: str, *, order: list[str], header: str |
     return n
 
 
+def write_parts(lines: DataFrame, path: str, *, order: list[str], header: str | None = None) -> None:
+    """Write ``line`` in parallel to a folder, on any storage Spark writes to.
+
+    The parts, read by name one after another, are in order; the header has the first of them.
+    """
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    if header is None:
+        rows.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+        return
+    first = rows.sparkSession.createDataFrame([(header,)], "value string")
+    first.unionByName(rows.select(F.col("line").alias("value"))).write.mode("overwrite").text(path)
+
+
+def write_result(lines: DataFrame, path: str, *, order: list[str], header: str | None = None, parts: bool = False) -> int:
+    """One named local file, or with ``parts`` a folder written in parallel, of which no lines are counted."""
+    if not parts:
+        return write_lines(lines, path, order=order, header=header)
+    write_parts(lines, path, order=order, header=header)
+    return 0
+
+
+def number_text(x: Column, form: str = "{!r}") -> Column:
+    """Numbers as text in Python's notation, which the formats use; nulls stay null."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(form.format, na_action="ignore")
+
+    return run(x.cast("double"))
+
+
 def append_hits(hits: DataFrame, path: str, *, run_mode: str = "legacy") -> None:
     """Add hits to the table, by run and database; what is packed in names becomes columns."""
     suffix = names.frame_suffix(F.col("target_name"))
@@ -67,18 +100,33 @@ def classification_lines(calls: DataFrame, *, secondary: bool = False, ontology:
     return "\t".join(head), calls.select("id", tab(*cells).alias("line"))
 
 
+def _domain_id() -> Column:
+    return F.concat(names.gff_safe(F.col("base_seq")), F.lit("|"), "query_name")
+
+
+def _domain_attributes() -> Column:
+    """What is known of a domain, as GFF3 attributes; also the description of its sequences."""
+    parts = (("ID", _domain_id()), ("Name", F.concat("clade", F.lit("-"), "shown")), ("gene", F.col("gene")), ("clade", F.col("clade")), ("coverage", number_text(F.col("hmm_cov"), "{:.1f}")), ("evalue", number_text(F.col("i_evalue"))), ("probability", number_text(F.col("acc"))))
+    return F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v) for k, v in parts))
+
+
 def domain_gff_lines(domains: DataFrame) -> DataFrame:
-    """GFF3 lines of domains ``(base_seq, start, end, strand, frame, gene, clade, cls, norm_score, hmm_cov, i_evalue)``."""
-    seq = names.gff_safe(F.col("base_seq"))
-    attributes = F.concat(F.lit("ID="), seq, F.lit("|"), names.gff_safe(F.col("query_name")), F.lit(";Name="), "clade", F.lit("-"), "gene", F.lit(";gene="), "gene", F.lit(";clade="), "clade")
-    return domains.select("base_seq", "start", "query_name", tab("base_seq", F.lit(SOURCE), F.lit("CDS"), "start", "end", F.round("norm_score", 2), "strand", "frame", attributes).alias("line"))
+    """GFF3 lines of domains ``(base_seq, query_name, start, end, strand, frame, gene, shown, clade, norm_score, hmm_cov, i_evalue, acc)``."""
+    line = tab("base_seq", F.lit(SOURCE), F.lit("CDS"), "start", "end", number_text(scores.rounded(F.col("norm_score"))), "strand", "frame", _domain_attributes())
+    return domains.select("base_seq", "start", "query_name", line.alias("line"))
 
 
 def domain_table_lines(domains: DataFrame) -> tuple[str, DataFrame]:
-    """Header - its spelling is part of the format - and lines of the domain table."""
+    """Header - fixed values, its spelling is part of the format - and lines of the domain table."""
     head = "\t".join(("#id", "length", "evalue", "coverge", "probability", "score"))
-    name = F.concat("base_seq", F.lit("|"), "query_name")
-    return head, domains.select("base_seq", "start", "query_name", tab(name, F.col("env_to") - F.col("env_from") + 1, "i_evalue", F.round("hmm_cov", 2), "acc", F.round("norm_score", 2)).alias("line"))
+    line = tab(_domain_id(), F.col("env_to") - F.col("env_from") + 1, number_text(F.col("i_evalue")), number_text(F.col("hmm_cov"), "{:.1f}"), number_text(F.col("acc")), number_text(scores.rounded(F.col("norm_score"))))
+    return head, domains.select("base_seq", "start", "query_name", line.alias("line"))
+
+
+def domain_records(domains: DataFrame, frames: DataFrame) -> DataFrame:
+    """``(base_seq, start, query_name, head, seq)``: amino acids of the domains whose frame is there."""
+    rows = domains.join(frames.select("target_name", "aa"), "target_name")
+    return rows.select("base_seq", "start", "query_name", F.concat(_domain_id(), F.lit(" "), _domain_attributes()).alias("head"), sequences.slice_of(F.col("aa"), F.col("env_from"), F.col("env_to")).alias("seq"))
 
 
 def fasta_lines(rows: DataFrame, head: Column, seq: Column, width: int | None = 60) -> DataFrame:
@@ -96,19 +144,46 @@ def library_records(seqs: DataFrame, calls: DataFrame, *, reverse: bool = True)
 
 
 def peptide_records(domains: DataFrame, frames: DataFrame, calls: DataFrame) -> DataFrame:
-    """``(name, head, seq)``: amino acids of the domains of classified elements."""
+    """``(base_seq, start, query_name, head, seq)``: amino acids of the domains of classified elements, named by class."""
     called = calls.select(F.col("id").alias("base_seq"), names.tidy_label(F.col("order"), F.col("superfamily"), F.col("clade")).alias("cls"))
-    rows = domains.join(frames.select("target_name", "aa"), "target_name").join(called, "base_seq")
-    p = names.path_labels(F.col("query_name"))
-    head = F.concat("base_seq", F.lit("#"), "cls", F.lit("#"), p["gene"], F.lit("|"), p["clade"])
-    return rows.select(F.col("base_seq").alias("name"), head.alias("head"), sequences.slice_of(F.col("aa"), F.col("env_from"), F.col("env_to")).alias("seq"))
+    rows = domains.join(frames.select("target_name", "aa"), "target_name").join(called, "base_seq").withColumn("shown", F.col("gene"))
+    head = F.concat(F.substring_index("base_seq", "#", 1), F.lit("#"), "cls", F.lit("#"), "gene", F.lit("|"), "clade", F.lit(" "), _domain_id(), F.lit(" "), _domain_attributes())
+    return rows.select("base_seq", "start", "query_name", head.alias("head"), sequences.slice_of(F.col("aa"), F.col("env_from"), F.col("env_to")).alias("seq"))
+
+
+def classification_rows(calls: DataFrame, mode: str) -> DataFrame:
+    """Calls ``(id, database, ...)`` as rows to be stored; ``source`` is the element a call was inherited from, else ``hmm``."""
+    source = F.coalesce("source", F.lit("hmm")) if "source" in calls.columns else F.lit("hmm")
+    return calls.select(F.col("id").alias("seq_id"), "database", F.col("order").alias("te_order"), "superfamily", "clade", "complete", "strand", "domains", source.alias("source"), F.lit(mode).alias("mode"))
+
+
+def append_classifications(calls: DataFrame, path: str, *, mode: str = "legacy") -> None:
+    """Add calls to the stored classifications, by database."""
+    classification_rows(calls, mode).write.mode("append").partitionBy("database").parquet(path)
+
+
+def similarity_rows(blast: DataFrame, lists: DataFrame) -> DataFrame:
+    """Similarity hits with the databases that classified the subject, ``unknown`` for none."""
+    known = lists.withColumnRenamed("base_seq", "sseqid")
+    return blast.drop("classified_by").join(known, "sseqid", "left").withColumn("classified_by", F.coalesce("classified_by", F.lit("unknown")))
+
+
+def write_split(classified: DataFrame, others: DataFrame, path: str, *, parts: int = 8) -> None:
+    """FASTA text of classified sequences as a database, and of the others in ``parts`` folders of like size.
+
+    A hash of the name deals the others out, so no task sees all of them.
+    """
+    text = lambda df: fasta_lines(df, F.col("name"), F.col("seq"), None)
+    text(classified).select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/database")
+    dealt = text(others).select(F.col("line").alias("value"), F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int").alias("part"))
+    dealt.write.mode("overwrite").partitionBy("part").text(f"{path}/queries")
 
 
 def frame_tier_lines(ranked: DataFrame) -> tuple[str, DataFrame]:
-    """Header and lines of verified sub-model classifications."""
+    """Header, fixed values of the format, and lines of verified sub-model classifications."""
     head = "\t".join(("frame", "family", "model", "facet_score", "facet_M", "confidence", "verified", "full_score", "is_secondary"))
     yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
-    return head, ranked.select("target_name", "family", "model", tab("target_name", "family", "model", F.format_string("%.1f", "facet_score"), "facet_m", "confidence", yes("verified"), F.format_string("%.1f", "full_score"), yes("is_secondary")).alias("line"))
+    return head, ranked.select("target_name", "family", "model", tab("target_name", "family", "model", number_text(F.col("facet_score"), "{:.1f}"), "facet_m", "confidence", yes("verified"), number_text(F.col("full_score"), "{:.1f}"), yes("is_secondary")).alias("line"))
 
 
 def write_partitions(pairs: DataFrame, seqs: DataFrame, path: str, *, batch_size: int = 1000) -> None:
@@ -116,7 +191,7 @@ def write_partitions(pairs: DataFrame, seqs: DataFrame, path: str, *, batch_size
 
     Batches are cut by exact numbering, so a model with most pairs needs no task of its own.
     """
-    placed = heavy_keys.numbered(pairs.select("target_name", "query_name").distinct(), "query_name", "target_name", chunk_rows=batch_size, stable=False)
+    placed = heavy_keys.numbered(pairs.select("target_name", "query_name").distinct(), "query_name", "target_name", chunk_rows=batch_size)
     rows = placed.select(F.col("v").alias("name"), names.file_safe(F.col("k")).alias("model"), F.col("chunk").alias("batch")).join(seqs, "name")
     fasta_lines(rows, F.col("name"), F.col("seq"), None).select("model", "batch", F.col("line").alias("value")).write.mode("overwrite").partitionBy("model", "batch").text(path)
 
@@ -125,3 +200,25 @@ def id_registry(rows: DataFrame, kind: str) -> DataFrame:
     """``(id, name)`` of distinct names; families are hashed under a prefix, so they never meet a model's id."""
     text = F.concat(F.lit("family:"), F.col("name")) if kind == "family" else F.col("name")
     return rows.where(F.col("name").isNotNull()).select(names.stable_id(text).alias("id"), "name").distinct()
+
+
+def frame_registry(rows: DataFrame) -> DataFrame:
+    """``(id, name, seq_id, direction, frame)`` of distinct frame names; a name without a frame has direction and frame 0."""
+    suffix = names.frame_suffix(F.col("name"))
+    way = F.when(suffix["strand"] == "+", 1).when(suffix["strand"] == "-", -1).otherwise(0)
+    number = F.coalesce(suffix["frame"].try_cast("int"), F.lit(0))
+    return rows.where(F.col("name").isNotNull()).select("name").distinct().select(names.stable_id(F.col("name")).alias("id"), "name", names.stable_id(suffix["base"]).alias("seq_id"), way.alias("direction"), number.alias("frame"))
+
+
+def register(registry: DataFrame, spark_path: str) -> None:
+    """Add ids that are not stored yet."""
+    spark = registry.sparkSession
+    from sekvant.sources.readers import _exists
+
+    fresh = registry.join(spark.read.parquet(spark_path).select("id"), "id", "left_anti") if _exists(spark, spark_path) else registry
+    fresh.write.mode("append").parquet(spark_path)
+
+
+def names_of(ids: DataFrame, registry: DataFrame) -> DataFrame:
+    """``(id, name)`` for every id; null where none is registered."""
+    return ids.select("id").distinct().join(registry.select("id", "name"), "id", "left")

@@ -53,7 +53,7 @@ def test_operator(spark, grammar, limit):
     # The extra columns clash with the operator's own; rows are repeated, also with a null id.
     data = [(i, f, "u", "r", 1) for i, f in enumerate(fields)] + [(None, fields[0], "u", "r", 1)] * 2
     df = spark.createDataFrame(data, "id int, field string, u string, skeleton string, pos int")
-    got = split_packed(df, "id", "field", grammar=grammar, broadcast_rules=limit).collect()
+    got = split_packed(df, "id", "field", grammar=grammar, broadcast_bytes=limit).collect()
     expected = [(i, k + 1, v, len(e)) for i, (_, _, e) in enumerate(c for c in CASES if c[0] == grammar) for k, v in enumerate(e)]
     expected += [(None, k + 1, v, len(CASES[0][2])) for k, v in enumerate(next(c for c in CASES if c[0] == grammar)[2])] * 2
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, expected))
