@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The standard genetic code, codons in the order T, C, A, G.
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -46,16 +50,48 @@ def trimmed_length(length: Column, frame: int) -> Column:
     return frame + (length - frame) - F.pmod(length - frame, F.lit(3))
 
 
+def _frame_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Digit of every byte, and amino acid of every three digits to the base of five."""
+    digit = np.full(256, 4, dtype=np.int64)
+    for i, c in enumerate("TCAG"):
+        digit[ord(c)] = i
+    letters = amino_acids()
+    table = np.array([ord(letters[a * 100 + b * 10 + c]) for a, b, c in product(range(5), repeat=3)], dtype=np.uint8)
+    return digit, table
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _six(seqs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    digit, table = _frame_tables()
+    # T C A G pair with A G T C: the complement of a digit; N stays.
+    pair = np.array([2, 3, 0, 1, 4])
+    for batch in seqs:
+        out = []
+        for s in batch:
+            if s is None:
+                out.append(None)
+                continue
+            fwd = digit[np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8)]
+            both = []
+            for d in (fwd, pair[fwd[::-1]]):
+                for k in range(3):
+                    n = max(len(d) - k, 0) // 3 * 3
+                    c = d[k : k + n].reshape(-1, 3)
+                    both.append(table[c[:, 0] * 25 + c[:, 1] * 5 + c[:, 2]].tobytes().decode("ascii"))
+            out.append(both)
+        yield pd.Series(out, dtype=object)
+
+
 def six_frames(df: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
-    """``(target_name, base_seq, strand, frame, aa)`` of a clean sequence; frames without a codon are left out."""
-    table = df.select(F.col(name).alias("base_seq"), F.col(seq).alias("fwd"), reverse_complement(F.col(seq)).alias("rev"))
-    frames = [
-        F.struct(F.lit(sign).alias("strand"), F.lit(k).alias("frame"), F.lit(f"|{way}{k + 1}").alias("suffix"), translate(F.col(way), k).alias("aa"))
-        for way, sign in (("fwd", "+"), ("rev", "-"))
-        for k in range(3)
-    ]
-    each = table.select("base_seq", F.explode(F.array(*frames)).alias("x"))
-    return each.where("x.aa <> ''").select(F.concat("base_seq", "x.suffix").alias("target_name"), "base_seq", "x.strand", "x.frame", "x.aa")
+    """``(target_name, base_seq, strand, frame, aa)`` of a clean sequence; frames without a codon are left out.
+
+    A sequence is read as numbers once and all its frames are looked up in arrays; a
+    letter that is no base counts as N.
+    """
+    each = df.select(F.col(name).alias("base_seq"), F.posexplode(_six(F.col(seq))).alias("i", "aa")).where("aa <> ''")
+    way, k = F.when(F.col("i") < 3, "fwd").otherwise("rev"), F.pmod("i", F.lit(3)).cast("int")
+    suffix = F.concat(F.lit("|"), way, (k + 1).cast("string"))
+    return each.select(F.concat("base_seq", suffix).alias("target_name"), "base_seq", F.when(F.col("i") < 3, "+").otherwise("-").alias("strand"), k.alias("frame"), "aa")
 
 
 def windows(df: DataFrame, size: int, overlap: int, name: str = "name", seq: str = "seq") -> DataFrame:
@@ -65,10 +101,10 @@ def windows(df: DataFrame, size: int, overlap: int, name: str = "name", seq: str
     """
     length = F.length(seq)
     last = F.greatest(F.lit(0), F.ceil((length - size - overlap) / F.lit(size)))
-    starts = F.when(length > 0, F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: i * size + 1))
-    cut = df.select(F.col(name).alias("chrom"), F.explode(starts).alias("w_start"), F.col(seq).alias("s"), length.alias("n"))
-    end = F.least(F.col("w_start") + (size + overlap - 1), F.col("n"))
-    return cut.select(F.concat("chrom", F.lit(":"), "w_start", F.lit("-"), end).alias("window_id"), "chrom", "w_start", end.alias("w_end"), F.substring("s", F.col("w_start"), F.lit(size + overlap)).alias("seq"))
+    # The windows leave the row as an array of pieces, so the whole sequence does not travel with each of them.
+    cut = F.when(length > 0, F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.struct((i * size + 1).alias("w_start"), F.substring(F.col(seq), i * size + 1, F.lit(size + overlap)).alias("piece"))))
+    pieces = df.select(F.col(name).alias("chrom"), F.explode(cut).alias("x")).select("chrom", "x.w_start", (F.col("x.w_start") + F.length("x.piece") - 1).alias("w_end"), F.col("x.piece").alias("seq"))
+    return pieces.select(F.concat("chrom", F.lit(":"), "w_start", F.lit("-"), "w_end").alias("window_id"), "chrom", "w_start", "w_end", "seq")
 
 
 def slice_of(seq: Column, start: Column, end: Column, strand: Column | None = None) -> Column:

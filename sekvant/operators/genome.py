@@ -40,7 +40,7 @@ def features(hits: DataFrame, db: Database, engine: str, *, lengths: DataFrame |
     needed = F.lit(True)
     for c in ("target_name", "query_name", "dom_score", "env_from", "env_to", "query_len", "evalue"):
         needed &= F.col(c).isNotNull()
-    rows = hits.where(needed & (F.col("query_len") > 0)).where(scores.passes("evalue"))
+    rows = hits.where(needed & ~F.isnan("dom_score") & (F.col("query_len") > 0)).where(scores.passes("evalue"))
     suffix = names.frame_suffix(F.col("target_name"))
     rows = rows.withColumns({"window_id": suffix["base"], "sign": suffix["strand"], "no": suffix["frame"].try_cast("int")})
     if engine == PROTEIN:

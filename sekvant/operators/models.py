@@ -82,7 +82,7 @@ def consensus_edges(models: DataFrame, *, block: int = 256, least: float = 0.0)
     spots = models.where(F.col("consensus").isNotNull()).select(F.col("name").alias("target"), "consensus", F.pmod(F.xxhash64("name"), F.lit(2**31 - 1)).alias("h"))
     n = spots.count()
     blocks = spots.withColumn("b", F.pmod("h", F.lit(max(1, -(-n // block))))).groupBy("b").agg(F.collect_list(F.struct("target", "consensus")).alias("targets"))
-    asked = models.where(F.col("match").isNotNull()).select(F.col("name").alias("query"), "alphabet", "match", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // block)) - 1))).cast("bigint").alias("b"))
+    asked = models.where(F.col("match").isNotNull()).select(F.col("name").alias("query"), "alphabet", "match", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, -(-n // block)) - 1).cast("bigint"))).alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -91,20 +91,26 @@ def consensus_edges(models: DataFrame, *, block: int = 256, least: float = 0.0)
                 letters = ALPHABETS["amino" if alphabet == "amino" else "dna"]
                 p = np.array([np.asarray(x, dtype=float) for x in match])
                 odds = np.where(p > 0, np.log2(np.where(p > 0, p, 1.0) * p.shape[1]), -100.0)
-                rows += [(query, t["target"], s) for t in targets if (s := best_ungapped(odds, t["consensus"].upper(), letters)) > least]
+                found = best_ungapped(odds, [t["consensus"].upper() for t in targets], letters)
+                rows += [(query, t["target"], float(x)) for t, x in zip(targets, found) if x > least]
             yield pd.DataFrame(rows, columns=["query", "target", "score"])
 
     return asked.join(blocks, "b").select("query", "alphabet", "match", "targets").mapInPandas(run, "query string, target string, score double")
 
 
-def best_ungapped(odds: np.ndarray, text: str, letters: str) -> float:
-    """Largest sum of a run on any diagonal of a score matrix, by position and letter, and a text."""
-    codes = np.array([letters.find(c) for c in text])
-    score = np.where(codes[None, :] >= 0, odds[:, np.maximum(codes, 0)], 0.0)
-    best, here = 0.0, np.zeros(len(codes) + 1)
-    for row in score:
-        here[1:] = np.maximum(here[:-1] + row, 0.0)
-        best = max(best, float(here.max()))
+def best_ungapped(odds: np.ndarray, texts: list[str], letters: str) -> np.ndarray:
+    """For every text the largest sum of a run on any diagonal of it and a score matrix by position and letter; other letters score 0."""
+    place = np.full(0x110000, len(letters), dtype=np.int32)
+    place[[ord(c) for c in letters]] = np.arange(len(letters))
+    codes = np.full((len(texts), max(map(len, texts), default=0)), len(letters) + 1)
+    for i, t in enumerate(texts):
+        codes[i, : len(t)] = place[[ord(c) for c in t]]
+    best, here = np.zeros(len(texts)), np.zeros((len(texts), codes.shape[1] + 1))
+    for row in odds:
+        # Behind a text's end no run goes on.
+        score = np.concatenate([row, [0.0, -np.inf]])[codes]
+        here[:, 1:] = np.maximum(here[:, :-1] + score, 0.0)
+        best = np.maximum(best, here.max(axis=1))
     return best
 
 
@@ -210,7 +216,10 @@ def spliced(models: DataFrame, parts: DataFrame) -> DataFrame:
     """Sub-models ``(name, parent, m, match, insert, trans)`` of models with matrix columns by position from 0."""
     cut = lambda c: F.slice(c, F.col("part_from") + 1, F.col("part_to") - F.col("part_from"))
     rows = parts.withColumnRenamed("model", "name").join(models, "name")
-    return rows.select(F.format_string("%s__sub_%d-%d", "name", "part_from", "part_to").alias("sub_name"), F.col("name").alias("parent"), (F.col("part_to") - F.col("part_from")).alias("m"), *(cut(c).alias(c) for c in ("match", "insert", "trans")))
+    # Inserts and transitions have an entry before the first position, which is the one of the parent's begin.
+    edge = lambda c: F.concat(F.slice(c, F.lit(1), F.lit(1)), F.slice(c, F.col("part_from") + 2, F.col("part_to") - F.col("part_from")))
+    more = [c for c in ("alphabet",) if c in models.columns]
+    return rows.select(F.format_string("%s__sub_%d-%d", "name", "part_from", "part_to").alias("sub_name"), F.col("name").alias("parent"), (F.col("part_to") - F.col("part_from")).alias("m"), *more, cut("match").alias("match"), *(edge(c).alias(c) for c in ("insert", "trans")))
 
 
 def ungapped_score(track: Column) -> Column:

@@ -524,14 +524,14 @@ def _matrices(spark, d):
     """Models with a made-up consensus and match probabilities, from their names alone."""
     m = table(spark, d, "models").groupBy("name").agg(F.min("m").alias("m"))
     letters = F.translate(F.sha2("name", 256), "0123456789abcdef", "ACGTACGTACGTACGT")
-    rows = m.select("name", F.lit("dna").alias("alphabet"), F.substring(F.repeat(letters, 8), F.lit(1), F.least("m", F.lit(40))).alias("consensus"))
+    rows = m.select("name", F.lit("dna").alias("alphabet"), F.substring(F.repeat(letters, 8), F.lit(1), F.least("m", F.lit(12))).alias("consensus"))
     column = lambda c: F.array(*(F.when(c == x, 0.85).otherwise(0.05) for x in "ACGT"))
     return rows.withColumn("match", F.transform(F.filter(F.split("consensus", ""), lambda c: c != ""), column))
 
 
 def model_graph(spark, d):
     """The graph of models: every consensus against every model, on made-up matrices, as the tables hold none."""
-    return models.consensus_edges(_matrices(spark, d), least=12.0).withColumn("score", F.round("score", 6))
+    return models.consensus_edges(_matrices(spark, d), least=8.0).withColumn("score", F.round("score", 6))
 
 
 def position_scores(spark, d):

@@ -185,13 +185,13 @@ hv AS (SELECT DISTINCT target_name, family FROM rk WHERE NOT is_secondary AND ta
 lk AS (SELECT DISTINCT target_name, parent AS query_name FROM (SELECT t.target_name, f.family FROM (SELECT DISTINCT target_name FROM hv) t, (SELECT DISTINCT family FROM models) f EXCEPT SELECT target_name, family FROM hv) JOIN fam USING (family)),
 st AS (SELECT id, target_name, query_name, 'verified' AS stage FROM cf UNION ALL SELECT id, target_name, query_name, 'cross_family' FROM h SEMI JOIN lk USING (target_name, query_name) WHERE i_evalue <= 1e-3
   UNION ALL SELECT id, target_name, query_name, 'fallback' FROM h WHERE i_evalue <= 1e-3 AND target_name NOT IN (SELECT target_name FROM scr WHERE score >= 15))"""
-_MAT = "mat AS (SELECT name, substr(repeat(translate(sha256(name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 8), 1, least(min(m), 40)) AS consensus FROM models GROUP BY name)"
+_MAT = "mat AS (SELECT name, substr(repeat(translate(sha256(name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 8), 1, least(min(m), 12)) AS consensus FROM models GROUP BY name)"
 #: Features of the three readable databases.
 _GENOME = rf"""x AS (SELECT *, {SPLIT.format("target_name")} AS ok, CASE WHEN ok THEN regexp_extract(target_name, '(?s)^(.*)\|(fwd|rev)', 1) ELSE target_name END AS win FROM legacy_hits),
 n AS (SELECT win, max(target_len) * 3 + 2 AS len FROM x WHERE target_name IS NOT NULL AND target_len IS NOT NULL GROUP BY 1),
 cm AS (SELECT clade_native AS c, min({{'o': order_h, 's': superfamily_h}}) AS x FROM harmonization WHERE db = 'gyrodb' AND clade_native <> 'unknown' GROUP BY 1),
 q AS (SELECT *, dom_score / query_len AS norm_score, 100.0::DOUBLE * (hmm_to - hmm_from + 1) / query_len AS hmm_cov, regexp_matches(win, '^(.+):(\d+)-(\d+)$') AS isw FROM x
-  WHERE database IN ('axdb', 'gyrodb', 'sinefold') AND target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND evalue IS NOT NULL
+  WHERE database IN ('axdb', 'gyrodb', 'sinefold') AND target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND NOT isnan(dom_score) AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND evalue IS NOT NULL
     AND hmm_cov >= 20 AND evalue <= 1e-3 AND acc >= 0.5 AND norm_score >= 0.1),
 y AS (SELECT q.*, len, CASE WHEN ok THEN right(target_name, 1)::INTEGER - 1 END AS fr, CASE WHEN NOT ok THEN '.' WHEN contains(split_part(target_name, '|', -1), 'fwd') THEN '+' ELSE '-' END AS sign FROM q LEFT JOIN n ON n.win = q.win WHERE database = 'sinefold' OR len IS NOT NULL),
 z AS (SELECT *, CASE WHEN database = 'sinefold' THEN ali_from WHEN sign = '+' THEN (env_from - 1) * 3 + fr + 1 WHEN sign = '-' THEN len - (env_to * 3 + fr) + 1 ELSE env_from END AS a,
@@ -306,7 +306,7 @@ SELECT path, count(*) AS number, sum(n)::BIGINT AS total_length, round(sum(n) /
 WITH x AS (SELECT *, CASE WHEN {SPLIT.format("target_name")} THEN regexp_extract(target_name, '(?s)^(.*)\|(fwd|rev)', 1) ELSE target_name END AS win FROM legacy_hits),
 n AS (SELECT win, max(target_len) * 3 + 2 AS len FROM x WHERE target_name IS NOT NULL AND target_len IS NOT NULL GROUP BY 1),
 q AS (SELECT *, dom_score / query_len AS norm_score, 100.0::DOUBLE * (hmm_to - hmm_from + 1) / query_len AS hmm_cov FROM x
-  WHERE database = 'axdb' AND target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND evalue IS NOT NULL),
+  WHERE database = 'axdb' AND target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND NOT isnan(dom_score) AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND evalue IS NOT NULL),
 y AS (SELECT q.*, len, right(target_name, 1)::INTEGER - 1 AS fr, contains(split_part(target_name, '|', -1), 'fwd') AS fwd, regexp_matches(q.win, '^(.+):(\d+)-(\d+)$') AS isw
   FROM q JOIN n ON n.win = q.win WHERE hmm_cov >= 20 AND evalue <= 1e-3 AND acc >= 0.5 AND norm_score >= 0.1),
 z AS (SELECT *, CASE WHEN fwd THEN (env_from - 1) * 3 + fr + 1 ELSE len - (env_to * 3 + fr) + 1 END AS a, CASE WHEN fwd THEN env_to * 3 + fr ELSE len - ((env_from - 1) * 3 + fr) END AS b,
@@ -318,7 +318,7 @@ SELECT chrom, 'CDS' AS type, f_start, f_end, round_even(norm_score * 1000, 0) /
   chrom || ':' || f_start || '-' || f_end || '|' || query_name AS gid, 'aa' AS src FROM w""",
     "genome_elements": f"""
 WITH q AS (SELECT *, dom_score / query_len AS norm_score, 100.0::DOUBLE * (hmm_to - hmm_from + 1) / query_len AS hmm_cov, {SPLIT.format("target_name")} AS ok FROM legacy_hits
-  WHERE database = 'sinefold' AND target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND evalue IS NOT NULL
+  WHERE database = 'sinefold' AND target_name IS NOT NULL AND query_name IS NOT NULL AND dom_score IS NOT NULL AND NOT isnan(dom_score) AND env_from IS NOT NULL AND env_to IS NOT NULL AND query_len > 0 AND evalue IS NOT NULL
   AND ali_from IS NOT NULL AND ali_to IS NOT NULL),
 y AS (SELECT *, regexp_matches(w, '^(.+):([0-9]+)-([0-9]+)$') AS isw FROM (SELECT *, CASE WHEN ok THEN regexp_extract(target_name, '(?s)^(.*)[|](fwd|rev)', 1) ELSE target_name END AS w FROM q)
   WHERE hmm_cov >= 20 AND evalue <= 1e-3 AND acc >= 0.5 AND norm_score >= 0.1),
@@ -429,7 +429,7 @@ a AS (SELECT name AS query, i, substr(consensus, i, 1) AS c FROM pos), b AS (SEL
 cell AS (SELECT query, target, a.i - b.i AS diag, a.i, CASE WHEN a.c = b.c THEN log2(0.85 * 4) ELSE log2(0.05 * 4) END AS s FROM a, b),
 run AS (SELECT query, target, diag, sum(s) OVER w AS c, i FROM cell WINDOW w AS (PARTITION BY query, target, diag ORDER BY i)),
 low AS (SELECT query, target, c - least(0, coalesce(min(c) OVER (PARTITION BY query, target, diag ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM run)
-SELECT query, target, round(max(best), 6) AS score FROM low GROUP BY 1, 2 HAVING max(best) > 12.0""",
+SELECT query, target, round(max(best), 6) AS score FROM low GROUP BY 1, 2 HAVING max(best) > 8.0""",
     "position_scores": f"WITH {_MAT} SELECT name, length(consensus)::INTEGER AS n, round(length(consensus) * log2(0.85 / 0.25), 6) AS total FROM mat",
     "multi_db_agreement": f"""WITH {REC}, {HARM}
 SELECT a.database AS db_a, b.database AS db_b, count(*) AS n, count(*) FILTER (a.superfamily = b.superfamily) AS raw_superfamily, count(*) FILTER (a.superfamily = b.superfamily AND a.clade = b.clade) AS raw_clade,
@@ -461,6 +461,6 @@ lost AS (SELECT DISTINCT o.chrom, o.type, o.val FROM sw JOIN o ON o.chrom = sw.c
 SELECT chrom, f_start, gid, concat_ws(chr(9), chrom, 'sekvant', type, f_start, f_end, score, strand, phase, 'ID=' || gid || ';Name=' || clade || '-' || gene || ';Classification=' || classification || ';gene=' || gene || ';clade=' || clade
   || ';coverage=' || printf('%.1f', coverage) || ';evalue=' || printf('%g', evalue) || ';score=' || printf('%.3f', score) || ';Ontology_term=SO:0000657;so_name=repeat_region') AS line FROM o ANTI JOIN lost USING (chrom, type, val)""",
     "genome_sequences": f"""WITH {_GENOME}, {_AA}, wb AS (SELECT win AS key, substr(repeat(translate(sha256(win), '0123456789abcdef', 'ACGTACGTACGTACGT'), ceil(len / 64.0)::BIGINT), 1, len) AS seq FROM n)
-SELECT gid, src, gid || '#' || classification AS head, CASE WHEN src = 'aa' THEN coalesce(substr(fr.aa, xfrom, xto - xfrom + 1), '') WHEN strand = '-' THEN coalesce(reverse(translate(substr(wb.seq, xfrom, xto - xfrom + 1), 'ACGTacgt', 'TGCAtgca')), '') ELSE coalesce(substr(wb.seq, xfrom, xto - xfrom + 1), '') END AS seq
+SELECT gid, src, gid || '#' || classification AS head, CASE WHEN xto < xfrom THEN '' WHEN src = 'aa' THEN coalesce(substr(fr.aa, xfrom, xto - xfrom + 1), '') WHEN strand = '-' THEN coalesce(reverse(translate(substr(wb.seq, xfrom, xto - xfrom + 1), 'ACGTacgt', 'TGCAtgca')), '') ELSE coalesce(substr(wb.seq, xfrom, xto - xfrom + 1), '') END AS seq
 FROM gf LEFT JOIN fr ON fr.target_name = xkey LEFT JOIN wb ON wb.key = xkey""",
 }

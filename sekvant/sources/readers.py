@@ -227,3 +227,14 @@ def resolve(name: str, known: dict[str, str], folder: str | None = None, variabl
     if name in known and os.path.isfile(path := os.path.join(at, known[name])):
         return path
     raise FileNotFoundError(f"no database {name} in {at}")
+
+
+def resolve_converted(path: str, known: dict[str, str], folder: str | None = None, suffix: str = ".bhmm") -> tuple[str, bool]:
+    """A database in a search program's own form, and whether it is there: the file beside the original, else the known one, else where to convert to."""
+    beside = path + suffix
+    if os.path.isfile(beside):
+        return beside, True
+    name = known.get(os.path.basename(path))
+    if name and os.path.isfile(at := os.path.join(folder or os.path.dirname(path), name)):
+        return at, True
+    return beside, False

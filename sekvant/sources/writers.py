@@ -7,16 +7,21 @@ to the driver partition by partition, never collected.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sekvant.functions import names, scores, sequences
 from sekvant.operators import heavy_keys
+from sekvant.operators.models import ALPHABETS
 
 SOURCE = "sekvant"
+#: Statistics that search programs demand of a model, whatever they are.
+PROFILE_STATISTICS = ("STATS LOCAL MSV       -9.9014  0.70957", "STATS LOCAL VITERBI  -10.7224  0.70957", "STATS LOCAL FORWARD   -4.1637  0.70957")
 
 
 def write_lines(lines: DataFrame, path: str, *, order: list[str], header: str | None = None) -> int:
@@ -62,6 +67,41 @@ def number_text(x: Column, form: str = "{!r}") -> Column:
     return run(x.cast("double"))
 
 
+def create_store(spark: SparkSession, path: str, tables: dict[str, str]) -> None:
+    """Empty tables by name and columns, where they are not there yet."""
+    from sekvant.sources.readers import _exists
+
+    for name, columns in tables.items():
+        if not _exists(spark, f"{path}/{name}.parquet"):
+            spark.createDataFrame([], columns).write.parquet(f"{path}/{name}.parquet")
+
+
+def profile_text(models: DataFrame) -> DataFrame:
+    """``(sub_name, line)``: models ``(sub_name, m, alphabet, match, insert, trans)`` as text that the profile reader takes.
+
+    Probabilities are written as negative logarithms, zero as a star; ``insert`` and
+    ``trans`` have an entry before the first position.
+    """
+
+    def number(x: float) -> str:
+        return "*" if x <= 0 else f"{-math.log(x):.5f}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, m, alphabet, match, insert, trans in zip(b["sub_name"], b["m"], b["alphabet"], b["match"], b["insert"], b["trans"]):
+                letters = ALPHABETS["amino" if alphabet == "amino" else "dna"]
+                row = lambda xs: "          " + "  ".join(map(number, xs))
+                text = ["HMMER3/f", f"NAME  {name}", f"LENG  {m}", f"ALPH  {alphabet}", *PROFILE_STATISTICS, "HMM          " + "        ".join(letters), "            m->m     m->i     m->d     i->m     i->i     d->m     d->d", row(insert[0]), row(trans[0])]
+                for i in range(m):
+                    best = letters[max(range(len(letters)), key=lambda k: match[i][k])].lower()
+                    text += [f"{i + 1:7d} " + "  ".join(map(number, match[i])) + f"  {i + 1} {best} - - -", row(insert[i + 1]), row(trans[i + 1])]
+                out.append((name, "\n".join([*text, "//"])))
+            yield pd.DataFrame(out, columns=["sub_name", "line"])
+
+    return models.select("sub_name", "m", "alphabet", "match", "insert", "trans").mapInPandas(run, "sub_name string, line string")
+
+
 def append_hits(hits: DataFrame, path: str, *, run_mode: str = "legacy") -> None:
     """Add hits to the table, by run and database; what is packed in names becomes columns."""
     suffix = names.frame_suffix(F.col("target_name"))

@@ -11,6 +11,6 @@ def folder(tmp_path_factory):
     return tables(tmp_path_factory.mktemp("empty"))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"multi_db_agreement"}))
+@pytest.mark.parametrize("name", sorted(set(queries()) - {"id_names"}))
 def test_empty(spark, folder, name):
     assert queries()[name](spark, folder).count() == 0

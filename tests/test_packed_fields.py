@@ -37,6 +37,8 @@ CASES = [
     (TYPED, '["RT|x ""alba""","RH|y;old"]', ['RT|x "alba"', "RH|y;old"]),
     (TYPED, "'RT|x+' / RH|y /", ["RT|x+", "RH|y"]),
     (TYPED, "RT|x; ;RH|y；EN|z\n", ["RT|x", "RH|y", "EN|z"]),
+    (TYPED, "x;RT|y", ["x", "RT|y"]),
+    (TYPED, "x y", ["x y"]),
     (TYPED, "  RT|x\tRH|y ", ["RT|x", "RH|y"]),
 ]
 
