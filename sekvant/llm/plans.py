@@ -140,9 +140,8 @@ def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = rows.groupBy("container").agg(F.sum("piece_size").alias("size"), F.count(F.lit(1)).alias("n"), F.sum(place).alias("places"), F.max(place).alias("last"))
     holes = (F.col("last") + 1 != F.col("n")) | (F.col("places") * 2 != F.col("n") * (F.col("n") - 1))
     by_bin = bins.agg(F.count_if(F.col("size") > CONTAINER_TOKENS).alias("n_over"), F.count_if(holes).alias("n_holes"), (F.count(F.lit(1)) <= F.coalesce(F.sum("size"), F.lit(0)) / CONTAINER_TOKENS * 1.01 + 2).alias("dense"))
-    docs = rows.groupBy("doc_id").agg(F.sum("piece_size").alias("size"), F.count(F.lit(1)).alias("n"))
-    needed = F.greatest(F.ceil(F.col("size") / CONTAINER_TOKENS), F.lit(1))
-    by_doc = docs.agg(F.count(F.lit(1)).alias("n_reviews"), F.count_if(F.col("n") != needed).alias("n_cut"))
+    # Every review has one first piece; only whole containers are cut off one that is too large.
+    by_doc = rows.agg(F.count_if(F.col("piece") == 0).alias("n_reviews"), F.count_if(F.col("piece_from") != F.col("piece") * CONTAINER_TOKENS).alias("n_cut"))
     fault = by_bin.select(F.struct("*")).scalar()
     return by_doc.select("n_reviews", "n_cut", *(fault[c].alias(c) for c in ("n_over", "n_holes", "dense")))
 
