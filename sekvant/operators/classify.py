@@ -81,7 +81,9 @@ def classify(hits: DataFrame, db: Database, *, clade_map: DataFrame | None = Non
     position; with ``count_votes`` the most frequent. An unclear win makes the clade,
     and the levels its models disagree on, a mixture.
     """
-    rows = _labelled(selected_domains(hits, db.remap, compat_rounding=compat_rounding), db, clade_map)
+    # The vote's own columns alone, so that others may have any name.
+    chosen = selected_domains(hits, db.remap, compat_rounding=compat_rounding).select("base_seq", "gene", "query_name", "target_name", "env_from", "norm_score")
+    rows = _labelled(chosen, db, clade_map)
     element = Window.partitionBy("base_seq")
     strand = F.when(F.min("strand").over(element) == F.max("strand").over(element), F.max("strand").over(element)).otherwise("?")
     way = F.when(F.col("target_name").contains("|fwd"), "+").when(F.col("target_name").contains("|rev"), "-").otherwise(".")
@@ -168,7 +170,7 @@ def reconcile(calls: DataFrame, harmonization: DataFrame, scope: DataFrame) -> D
     qualifies. The primary call is the highest of those left; the lineage is voted
     among those that have one; ``secondary`` keeps all calls under native names.
 
-    An element's calls, at most one per database, are gathered once and voted on as an
+    A call without a score counts with 0. An element's calls, at most one per database, are gathered once and voted on as an
     array, so the whole takes one shuffle and no sort.
     """
     kept = [c for c in calls.columns if c not in ("id", "database", "order", "superfamily", "clade", "score")]
@@ -176,7 +178,7 @@ def reconcile(calls: DataFrame, harmonization: DataFrame, scope: DataFrame) -> D
     can = scope.where("resolving").groupBy(F.col("db").alias("database")).agg(F.collect_set("superfamily_h").alias("can"))
     rows = harmonized(calls, harmonization).join(can, "database", "left").withColumn("can", F.coalesce("can", F.array().cast("array<string>")))
     labels = [f"{x}{s}" for x in ("order", "superfamily", "clade") for s in ("", "_h")]
-    each = F.struct("database", F.col("score").cast("double").alias("score"), *labels, "lineage_h", "can", F.struct(F.lit(0).alias("_"), *kept).alias("kept"))
+    each = F.struct("database", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), *labels, "lineage_h", "can", F.struct(F.lit(0).alias("_"), *kept).alias("kept"))
     groups = rows.groupBy("id").agg(F.sort_array(F.collect_list(each)).alias("calls"))
 
     several = F.array_min(F.transform("calls", lambda x: x["database"])) != F.array_max(F.transform("calls", lambda x: x["database"]))

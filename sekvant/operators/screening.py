@@ -26,6 +26,7 @@ def best_submodel(hits: DataFrame, parents: DataFrame | None = None) -> DataFram
 
     ``parents`` maps ``query_name`` to ``(parent, size)``; a model without a parent is its own.
     """
+    hits = hits.select("target_name", "query_name", "query_len", "dom_score")
     if parents is None:
         rows = hits.withColumns({"parent": F.col("query_name"), "size": F.col("query_len")})
     else:

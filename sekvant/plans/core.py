@@ -54,20 +54,20 @@ ORACLES = {
     # Typed values are told apart by what begins one, plain ones by what they consist of.
     "p3_found": rf"""
 WITH f AS (
-  SELECT 'domains' AS src_field, cls_id AS row_id, trim(domains, E' \t\n\r') AS f FROM classifications
-  UNION ALL SELECT 'classified_by', hit_id, trim(classified_by, E' \t\n\r') FROM blast_hits),
+  SELECT 'domains' AS src_field, row_number() OVER () AS rn, cls_id AS row_id, trim(domains, E' \t\n\r') AS f FROM classifications
+  UNION ALL SELECT 'classified_by', row_number() OVER (), hit_id, trim(classified_by, E' \t\n\r') FROM blast_hits),
 g AS (
-  SELECT src_field, row_id, CASE WHEN regexp_full_match(f, '\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}}') THEN f[2:-2] ELSE f END AS f FROM f
+  SELECT src_field, rn, row_id, CASE WHEN regexp_full_match(f, '\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}}') THEN f[2:-2] ELSE f END AS f FROM f
   WHERE f IS NOT NULL AND lower(f) NOT IN ('', 'unknown', 'mixture', 'none', 'na', '?', '.')),
 p AS (
-  SELECT src_field, row_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM (
-    SELECT src_field, row_id, CASE WHEN src_field = 'domains'
+  SELECT src_field, rn, row_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM (
+    SELECT src_field, rn, row_id, CASE WHEN src_field = 'domains'
       THEN string_split(regexp_replace(regexp_replace(f, '("(?:[^"]|"")*")', E'\x01\\1\x01', 'g'), '(^|{_BETWEEN}|\x01)(''?[^\s,;；，、/|+&"''\x01]+\|[^\s,;；，、/|+&])', E'\\1\x01\\2', 'g'), E'\x01')
       ELSE regexp_extract_all(f, '"(?:[^"]|"")*"|''[^'']*''|[^\s,;；，、/|+&]+') END AS x FROM g)),
-q AS (SELECT src_field, row_id, i, trim(regexp_replace(v, '^{_BETWEEN}+|{_BETWEEN}+$', '', 'g')) AS v FROM p),
+q AS (SELECT src_field, rn, row_id, i, trim(regexp_replace(v, '^{_BETWEEN}+|{_BETWEEN}+$', '', 'g')) AS v FROM p),
 r AS (
-  SELECT src_field, row_id, i, trim(CASE WHEN v LIKE '"%"' AND length(v) > 1 THEN replace(v[2:-2], '""', '"') WHEN v LIKE '''%''' AND length(v) > 1 THEN v[2:-2] ELSE v END) AS v FROM q),
-n AS (SELECT src_field, row_id, v, row_number() OVER k AS pos, count(*) OVER (PARTITION BY src_field, row_id) AS n FROM r WHERE v <> '' WINDOW k AS (PARTITION BY src_field, row_id ORDER BY i))
+  SELECT src_field, rn, row_id, i, trim(CASE WHEN v LIKE '"%"' AND length(v) > 1 THEN replace(v[2:-2], '""', '"') WHEN v LIKE '''%''' AND length(v) > 1 THEN v[2:-2] ELSE v END) AS v FROM q),
+n AS (SELECT src_field, row_id, v, row_number() OVER k AS pos, count(*) OVER (PARTITION BY src_field, rn) AS n FROM r WHERE v <> '' WINDOW k AS (PARTITION BY src_field, rn ORDER BY i))
 SELECT src_field, row_id, pos::INTEGER AS pos, v AS val FROM n WHERE n >= 2""",
     "p5_found": """
 WITH s AS (

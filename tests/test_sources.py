@@ -105,9 +105,9 @@ def test_library_and_peptides(spark):
     lines = {r["name"]: r["line"] for r in writers.fasta_lines(seqs, F.col("name"), F.col("seq")).collect()}
     assert lines["x#old"].split("\n") == [">x#old", ("ACGT" * 20)[:60], ("ACGT" * 20)[60:]]
     frames = spark.createDataFrame([("x#old|fwd1", "MKLVA")], "target_name string, aa string")
-    domains = spark.createDataFrame([("x#old|fwd1", "x#old", "Class_I/LTR/Ty1_copia/Ale:Ty1-RT", 2, 4)], "target_name string, base_seq string, query_name string, env_from int, env_to int")
+    domains = spark.createDataFrame([("x#old|fwd1", "x#old", "m", 2, 4, 5, "RT", "Ale", 50.0, 1e-9, 0.9)], "target_name string, base_seq string, query_name string, env_from int, env_to int, start int, gene string, clade string, hmm_cov double, i_evalue double, acc double")
     r = writers.peptide_records(domains, frames, calls).first()
-    assert (r["head"], r["seq"]) == ("x#old#LTR/Copia#RT|Ale", "KLV")
+    assert (r["head"], r["seq"]) == ("x#LTR/Copia#RT|Ale x#old|m ID=x#old|m;Name=Ale-RT;gene=RT;clade=Ale;coverage=50.0;evalue=1e-09;probability=0.9", "KLV")
 
 
 def test_store_and_upsert(spark, tmp_path):
