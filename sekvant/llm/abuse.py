@@ -48,7 +48,8 @@ from pyspark.sql import functions as F
 
 HASH_BITS, RANK = 17, 8
 MAX_LABELLED = 20_000
-EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.08, 2e-5
+#: Passes over the labelled documents, and steps that few of them are gone over for at least.
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 6, 150, 128, 0.08, 2e-5
 #: Words from which a sentence is also looked at in runs.
 RUN_WORDS = 48
 #: Sentences and words a worker remembers, and words worked on at a time; they bound its memory, not the result.
@@ -323,7 +324,7 @@ def train(docs: list[list[int]], labels: list[tuple[int, bool, float]], flat: np
     vector = rng.normal(0, 0.05, (n, RANK)).astype(np.float32)
     past_w, past_v, past_b = np.full(n, 1e-2, dtype=np.float32), np.full((n, RANK), 1e-2, dtype=np.float32), 1e-2
     batches = _batches(docs, labels, flat, size, rng.permutation(len(docs)))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS // len(batches)))):
         for k in rng.permutation(len(batches)):
             b = batches[k]
             z, x, total, v = _forward(bias, weight, vector, b.flat, b.size)
@@ -387,7 +388,7 @@ def fit(texts: dict[object, str], labels: list[tuple[object, object, bool]], wor
             mine = []
             for raw in raw_sentences(texts.get(doc) or ""):
                 if raw not in number:
-                    found = [ids for s in plain_sentences(raw) if (ids := known.numbers(s))]
+                    found = [bag for s in plain_sentences(raw) if (ids := known.numbers(s)) for bag in runs(ids)]
                     number[raw] = [*range(len(bags), len(bags) + len(found))]
                     bags += found
                 mine += number[raw]
