@@ -86,6 +86,7 @@ def class_summary(features: DataFrame, classification: str = "classification") -
     """``(path, number, total_length, mean_length, place)`` for every class, its ancestors and the total.
 
     Paths may be one, two or three levels deep, so prefixes are listed rather than rolled up.
+    A mean halfway between two tenths is rounded away from zero.
     """
     parts = F.split(classification, "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
@@ -93,17 +94,21 @@ def class_summary(features: DataFrame, classification: str = "classification") -
     rows = features.where(F.col(classification).isNotNull()).select(F.explode(F.concat(shown, F.array(F.lit("Total")))).alias("path"), (F.col("f_end") - F.col("f_start") + 1).alias("n"))
     sums = rows.groupBy("path").agg(F.count(F.lit(1)).alias("number"), F.sum("n").alias("total_length"))
     place = F.array_position(F.array(*map(F.lit, ORDERS)), F.split("path", "/")[0])
-    return sums.select("path", "number", "total_length", F.bround(F.col("total_length") / F.col("number"), 1).alias("mean_length"), F.when(place == 0, len(ORDERS) + 1).otherwise(place).cast("int").alias("place"))
+    return sums.select("path", "number", "total_length", F.round(F.col("total_length") / F.col("number"), 1).alias("mean_length"), F.when(place == 0, len(ORDERS) + 1).otherwise(place).cast("int").alias("place"))
 
 
 def summary_lines(summary: DataFrame) -> tuple[str, DataFrame]:
-    """Header and lines of the summary: levels in three columns with the last one filled, and the numbers."""
+    """Header and lines of the summary: levels in three columns with the last one filled, and the numbers.
+
+    The file's means are taken from the sums, halfway ones rounded to the even tenth.
+    """
     from sekvant.sources.writers import tab
 
     parts = F.split("path", "/")
     n = F.size(parts)
     last = F.element_at(parts, -1)
     levels = [F.when(n == i + 1, last).otherwise("") for i in range(2)] + [F.when(n >= 3, last).otherwise("")]
+    mean = F.bround(F.col("total_length") / F.col("number"), 1)
     #: The format's column names.
     head = "\t".join(("Order", "Superfamily", "Clade", "Number", "Total_length", "Mean_length"))
-    return head, summary.select("place", "path", tab(*levels, "number", "total_length", F.format_string("%.1f", "mean_length")).alias("line"))
+    return head, summary.select("place", "path", tab(*levels, "number", "total_length", F.format_string("%.1f", mean)).alias("line"))

@@ -1,6 +1,8 @@
 import random
 
-from sekvant.operators.overlap import class_summary, resolve_overlaps
+from sekvant.operators.overlap import class_summary, resolve_overlaps, summary_lines
+from sekvant.plans import oracles, queries
+from tests.compare import same
 
 SCHEMA = "chrom string, type string, f_start int, f_end int, score double, gid string, i int"
 
@@ -54,3 +56,19 @@ def test_summary_of_ragged_paths(spark):
     df = spark.createDataFrame([("LTR/Copia/Ale", 1, 10), ("LTR/Copia/Ale", 1, 20), ("LTR/Gypsy", 1, 5), ("SINE", 1, 3), ("odd", 1, 1), (None, 1, 9)], "classification string, f_start int, f_end int")
     got = {r["path"]: (r["number"], r["total_length"], r["mean_length"], r["place"]) for r in class_summary(df).collect()}
     assert got == {"LTR": (3, 35, 11.7, 1), "LTR/Copia": (2, 30, 15.0, 1), "LTR/Copia/Ale": (2, 30, 15.0, 1), "LTR/Gypsy": (1, 5, 5.0, 1), "SINE": (1, 3, 3.0, 6), "odd": (1, 1, 1.0, 13), "Total": (5, 39, 7.8, 12)}
+
+
+def test_halfway_means(spark):
+    # Means of 2.25 and 2.75, and of -2.25 where ends are exchanged.
+    rows = [("LTR", 1, n) for n in (1, 2, 3, 3)] + [("SINE", 1, n) for n in (2, 3, 3, 3)] + [("odd", 3, n) for n in (0, 0, 0, -1)]
+    sums = class_summary(spark.createDataFrame(rows, "classification string, f_start int, f_end int"))
+    got = {r["path"]: r["mean_length"] for r in sums.collect()}
+    assert (got["LTR"], got["SINE"], got["odd"]) == (2.3, 2.8, -2.3)
+    lines = {r["path"]: r["line"].split("\t")[-1] for r in summary_lines(sums)[1].collect()}
+    assert (lines["LTR"], lines["SINE"], lines["odd"]) == ("2.2", "2.8", "-2.2")
+
+
+def test_summaries_with_halfway_means_like_sql(spark):
+    # At this size LTR/Eryora has 12 features of 5835 in all, a mean of 486.25.
+    for name in ("genome_summary", "genome_summary_lines"):
+        same(spark, queries()[name], oracles()[name], "sf0.01")
