@@ -179,10 +179,18 @@ def chosen_hit_lines(hits: DataFrame, lengths: DataFrame) -> tuple[str, DataFram
     return "\t".join(CHOSEN_COLUMNS), _readable(hits, lengths).select("seq_id", "query_name", "env_from", line.alias("line"))
 
 
-def hit_records(hits: DataFrame, frames: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``(target_name, dom_score, query_name, head, seq)``: amino acids of each frame and model's best hits."""
-    rows = _readable(best.best_with_ties(hits, ["target_name", "query_name"]), lengths).join(frames.select("target_name", "aa"), "target_name")
+def hit_records(hits: DataFrame, frames: DataFrame, lengths: DataFrame, piece: Column | None = None) -> DataFrame:
+    """``(target_name, dom_score, query_name, head, seq)``: amino acids of each frame and model's best hits.
+
+    ``frames`` has the amino acids whole, as ``aa``, or else what ``piece`` cuts a hit's
+    part from. Heads are made before frames are joined, so that no sequence waits in a
+    Python queue beside them.
+    """
+    rows = _readable(best.best_with_ties(hits, ["target_name", "query_name"]), lengths)
     bases = F.when(F.col("based"), F.concat(F.lit("nuc="), F.col("nuc_start").cast("string"), F.lit("-"), F.col("nuc_end").cast("string"), F.lit(";"))).otherwise("")
     parts = [F.col("seq_id"), F.lit("|"), F.col("query_name"), F.lit(" "), bases, F.lit("env="), F.col("env_from").cast("string"), F.lit("-"), F.col("env_to").cast("string")]
     parts += [x for k, v in (("score", number_text(F.col("dom_score"), "{:.1f}")), ("evalue", number_text(F.col("i_evalue"), "{:.2e}")), ("hmm_cov", _coverage()), ("acc", number_text(F.col("acc"), "{:.3f}"))) for x in (F.lit(f";{k}="), v)]
-    return rows.select("target_name", "dom_score", "query_name", F.concat(*parts).alias("head"), F.substring("aa", F.col("env_from"), F.col("env_to") - F.col("env_from") + 1).alias("seq"))
+    headed = rows.select("target_name", "dom_score", "query_name", "env_from", "env_to", F.concat(*parts).alias("head"))
+    if piece is None:
+        frames, piece = frames.select("target_name", "aa"), F.substring("aa", F.col("env_from"), F.col("env_to") - F.col("env_from") + 1)
+    return headed.join(frames, "target_name").select("target_name", "dom_score", "query_name", "head", piece.alias("seq"))
