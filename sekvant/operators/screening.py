@@ -145,21 +145,43 @@ def confirm_iteratively(frames: DataFrame, candidates: DataFrame, hits: DataFram
     better the family is left. A frame without candidates is ``unresolved`` and has one
     row without a model, one whose rounds ran out stays ``active``; both go to the full search.
 
-    Frames are independent, so each runs all its rounds in one place. It brings its
-    candidates, its hits, of which there are at most one per model, and with each hit the
-    model's ``reach`` nearest neighbours; the graph reaches them by joins, never whole.
+    Frames are independent, so each runs all its rounds in one place. They are dealt
+    out to blocks by a hash of their name. A block first reads the ``reach`` nearest
+    neighbours of the models that its hits name, once each and not once a frame, then
+    its frames' candidates and hits, row by row; so what it holds is bounded by the models
+    it meets. The graph reaches blocks by joins, never whole.
     """
     def kin(model: str) -> Column:
         return F.coalesce("family", names.domain_family(F.col(model)))
 
+    blocks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.xxhash64("target_name")
+    block = F.pmod(place, F.lit(blocks)).cast("int")
     known = families.groupBy(F.col("parent").alias("m_")).agg(F.min("family").alias("family"))
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "target"))
     close = edges.select("query", "target", "score", order.alias("rank")).where(F.col("rank") <= reach)
-    close = close.join(known, close["target"] == known["m_"], "left").select("query", F.struct("rank", "target", kin("target").alias("family")).alias("t"))
-    near = close.groupBy(F.col("query").alias("query_name")).agg(F.sort_array(F.collect_list("t")).alias("near"))
-    offered = candidates.join(known, candidates["parent"] == known["m_"], "left").groupBy("target_name").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "parent", kin("parent").alias("family")))).alias("queue"))
-    best = hits.groupBy("target_name", "query_name").agg(F.max("dom_score").alias("score"), F.min("i_evalue").alias("evalue")).join(near, "query_name", "left")
-    found = best.groupBy("target_name").agg(F.collect_list(F.struct("query_name", "score", "evalue", "near")).alias("found"))
+    close = close.join(known, close["target"] == known["m_"], "left").select(F.col("query").alias("model"), "rank", F.col("target").alias("near"), kin("target").alias("family"))
+    hits = hits.where(F.col("target_name").isNotNull())
+    offered = candidates.where(F.col("target_name").isNotNull()).join(known, candidates["parent"] == known["m_"], "left")
+
+    def part(rows: DataFrame, kind: int, **given: Column) -> DataFrame:
+        # Texts that a kind of row lacks are empty: Arrow counts a run of nulls anew with every row.
+        lacking = {"place": F.lit(None).cast("bigint"), "target_name": F.lit(""), "kind": F.lit(kind), "model": F.lit(""), "family": F.lit(""), "near": F.lit(""), "score": F.lit(None).cast("double"), "evalue": F.lit(None).cast("double")}
+        return rows.select("block", *(c.alias(k) for k, c in (lacking | given).items()))
+
+    def own(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        return rows.withColumn("block", block), {"place": place, "target_name": F.col("target_name")}
+
+    # A block's models have no place, so they come first. Places are numbers and tell most
+    # rows apart, which names that begin alike would not.
+    met = hits.select(block.alias("block"), F.col("query_name").alias("model")).distinct().join(close, "model")
+    rows, at = own(frames.select("target_name").distinct())
+    every = part(met, 0, model=F.col("model"), near=F.col("near"), family=F.col("family"), score=F.col("rank").cast("double")).unionByName(part(rows, 1, **at))
+    rows, at = own(offered.withColumn("family", kin("parent")))
+    every = every.unionByName(part(rows, 2, **at, model=F.col("parent"), family=F.col("family"), score=(-F.col("score")).cast("double")))
+    rows, at = own(hits)
+    every = every.unionByName(part(rows, 3, **at, model=F.col("query_name"), score=F.col("dom_score").cast("double"), evalue=F.col("i_evalue").cast("double")))
+    dealt = every.repartitionById(blocks, "block").sortWithinPartitions("place", "target_name", "kind", "score", "model", "family")
 
     def frame(queue: list[str], family: dict[str, str], found: dict[str, tuple[float, float, list[str]]]) -> tuple[list[tuple[str, int]], str]:
         tried, left_out, best_of, declines, out, status = set(), set(), {}, {}, [], "active"
@@ -191,23 +213,45 @@ def confirm_iteratively(frames: DataFrame, candidates: DataFrame, hits: DataFram
         return out, status
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, known_as, target, wanted, queue, family, found = {}, {}, None, False, [], {}, {}
+
+        def done() -> list[tuple]:
+            if not wanted:
+                return []
+            if not queue:
+                return [(target, None, None, False, "unresolved")]
+            hit = {}
+            for m, (score, evalue) in found.items():
+                near = graph.get(m, ())
+                family.update(near)
+                hit[m] = (score, evalue, [x for x, _ in near])
+            tried, status = frame(queue, family, hit)
+            return [(target, m, turn, m in hit, status) for m, turn in tried]
+
+        def table(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["target_name", "query_name", "round", "confirmed", "status"]).astype({"round": "Int32"})
+
         for b in batches:
             rows = []
-            for target, queue, found in zip(b["target_name"], b["queue"], b["found"]):
-                if queue is None:
-                    rows.append((target, None, None, False, "unresolved"))
-                    continue
-                family, hit = {x["parent"]: x["family"] for x in queue}, {}
-                for x in () if found is None else found:
-                    near = [] if x["near"] is None else x["near"]
-                    family.update((t["target"], t["family"]) for t in near)
-                    hit[x["query_name"]] = (x["score"], x["evalue"], [t["target"] for t in near])
-                tried, status = frame([x["parent"] for x in queue], family, hit)
-                rows += [(target, m, turn, m in hit, status) for m, turn in tried]
-            yield pd.DataFrame(rows, columns=["target_name", "query_name", "round", "confirmed", "status"]).astype({"round": "Int32"})
-
-    every = frames.select("target_name").distinct().join(offered, "target_name", "left").join(found, "target_name", "left")
-    return every.mapInPandas(run, "target_name string, query_name string, round int, confirmed boolean, status string")
+            for name, kind, model, kin, near, score, evalue in zip(*(b[c].tolist() for c in ("target_name", "kind", "model", "family", "near", "score", "evalue"))):
+                if name != target:
+                    rows += done()
+                    target, wanted, queue, family, found = name, False, [], {}, {}
+                if kind == 0:
+                    graph.setdefault(model, []).append(known_as.setdefault((near, kin), (near, kin)))
+                elif kind == 1:
+                    wanted = True
+                elif kind == 2:
+                    queue.append(model)
+                    family[model] = kin
+                elif model not in found:
+                    found[model] = (score, evalue)
+                else:
+                    found[model] = (max(score, found[model][0]), min(evalue, found[model][1]))
+            yield table(rows)
+        yield table(done())
+
+    return dealt.mapInPandas(run, "target_name string, query_name string, round int, confirmed boolean, status string")
 
 
 def iterative_stages(confirmed: DataFrame, hits: DataFrame) -> DataFrame:
