@@ -258,10 +258,8 @@ def iterative_stages(confirmed: DataFrame, hits: DataFrame) -> DataFrame:
     """All hits of the iterative search with their stage: confirmed ones, and for frames that are not resolved the rest.
 
     Frames that never had a candidate meet all models; others only those they have not tried.
+    What a frame tried, a model a round, is one row, so hits meet it in one join.
     """
-    key = ["target_name", "query_name"]
-    tried = confirmed.where(F.col("query_name").isNotNull()).select(*key)
-    first = hits.join(tried, key, "left_semi").withColumn("stage", F.lit("confirmed"))
-    left = confirmed.where("status <> 'resolved'").select("target_name").distinct()
-    rest = hits.join(left, "target_name", "left_semi").join(tried, key, "left_anti").withColumn("stage", F.lit("fallback"))
-    return first.unionByName(rest)
+    per = confirmed.groupBy("target_name").agg(F.collect_set("query_name").alias("tried_"), F.max(F.col("status") != "resolved").alias("open_"))
+    stage = F.when(F.array_contains("tried_", F.col("query_name")), "confirmed").when(F.col("open_"), "fallback")
+    return hits.join(per, "target_name").withColumn("stage", stage).where(F.col("stage").isNotNull()).drop("tried_", "open_")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from sekvant import staging
 from sekvant.operators import screening
 from sekvant.plans import queries
 from tests.compare import DATA
@@ -46,3 +47,18 @@ def test_blocks_and_batches_change_nothing(spark, conf):
         conf("spark.sql.shuffle.partitions", str(blocks))
         conf("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
         assert _confirmed(spark) == want
+
+
+def test_stages_take_one_pass_and_stage_nothing(spark):
+    before = len(staging._written)
+    df = queries()["iterative_stages"](spark, f"{DATA}/sf0.001")
+    assert len(staging._written) == before
+    # Hits meet what their frame tried in one join, not once a stage.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_stage_of_every_hit(spark):
+    confirmed = spark.createDataFrame([("a", "x", "resolved"), ("b", "x", "active"), ("b", "y", "active"), ("c", None, "unresolved")], "target_name string, query_name string, status string")
+    hits = spark.createDataFrame([(i, t, q) for i, (t, q) in enumerate([("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("b", "z"), ("c", "x"), ("c", None), ("d", "x")])], "id int, target_name string, query_name string")
+    got = screening.iterative_stages(confirmed, hits).select("id", "stage").collect()
+    assert sorted(map(tuple, got)) == [(0, "confirmed"), (2, "confirmed"), (3, "confirmed"), (4, "fallback"), (5, "fallback"), (6, "fallback")]
